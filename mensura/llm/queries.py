@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mensura.llm import fusion, overlap
+from mensura.functions.keys import usable_year, with_molecule, with_target
+from mensura.llm import fusion, overlap, splits
 from mensura.session import cut
 from mensura.sources.tables import table
 
@@ -37,6 +39,26 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(_overlap(spark, folder), table(spark, folder, "split_member"))
 
 
+def p4_split(spark: SparkSession, folder: str) -> DataFrame:
+    """By molecule and scaffold."""
+    records = with_molecule(table(spark, folder, "compound_target").select("rec_id", "inchikey", "std_smiles", "scaffold"))
+    return splits.assign_splits(records, [F.col("molecule"), splits.scaffold_key()])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    assigned = p4_split(spark, folder)
+    return assigned.filter("group_size > 1 and id <> group_id").select(F.col("group_id").alias("first_rec_id"), F.col("id").alias("rec_id"))
+
+
+def p4_split_year(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.assign_splits(table(spark, folder, "compound_target").select("rec_id", "year"), [usable_year("year")])
+
+
+def p4_split_gene(spark: SparkSession, folder: str) -> DataFrame:
+    records = with_target(table(spark, folder, "compound_target").select("rec_id", "gene", "target_chembl_id"), table(spark, folder, "target_dictionary"))
+    return splits.assign_splits(records, [F.col("target")])
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
 
