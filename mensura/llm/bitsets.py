@@ -1,0 +1,33 @@
+"""Numpy helpers on codes of bit sets, used inside tasks."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from mensura.functions.fingerprint import N_BITS, SHIFT
+
+
+def unpack(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(flat positions, offsets) of a list of codes."""
+    flat = np.frombuffer(b"".join(codes), dtype=">u2").astype(np.int32) - SHIFT
+    offsets = np.zeros(len(codes) + 1, dtype=np.int64)
+    np.cumsum([len(c) // 2 for c in codes], out=offsets[1:])
+    return flat, offsets
+
+
+def packed(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of 64-bit words, number of positions on)."""
+    n = np.diff(offsets)
+    dense = np.zeros((len(n), N_BITS), dtype=bool)
+    dense[np.repeat(np.arange(len(n)), n), flat] = True
+    return np.packbits(dense, axis=1).view(np.uint64), n
+
+
+def similarities(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, block: int = 256) -> np.ndarray:
+    """Tanimoto of every row of a with every row of b."""
+    out = np.zeros((len(a), len(b)))
+    for i in range(0, len(a), block):
+        both = np.bitwise_count(a[i : i + block, None, :] & b[None]).sum(2, dtype=np.int64)
+        either = na[i : i + block, None] + nb[None] - both
+        np.divide(both, either, out=out[i : i + block], where=either > 0)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions.keys import usable_year, with_molecule, with_target
-from mensura.llm import fusion, overlap, splits
+from mensura.llm import fusion, neighbours, overlap, splits
 from mensura.session import cut
 from mensura.sources.tables import table
 
@@ -39,6 +39,11 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(_overlap(spark, folder), table(spark, folder, "split_member"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neighbours.neighbour_pairs(table(spark, folder, "fingerprint"))
+    return pairs.select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"))
+
+
 def p4_split(spark: SparkSession, folder: str) -> DataFrame:
     """By molecule and scaffold."""
     records = with_molecule(table(spark, folder, "compound_target").select("rec_id", "inchikey", "std_smiles", "scaffold"))
