@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions.keys import usable_year, with_molecule, with_target
-from mensura.llm import fusion, neighbours, overlap, splits
+from mensura.llm import clusters, fusion, neighbours, overlap, splits
 from mensura.session import cut
 from mensura.sources.tables import table
 
@@ -64,6 +64,16 @@ def p4_split_gene(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(records, [F.col("target")])
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, _ = clusters.similar_groups(table(spark, folder, "fingerprint"))
+    return members.filter("vec <> cluster").select(F.col("cluster").alias("first_vec_id"), F.col("vec").alias("vec_id"))
+
+
+def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    members, edges = clusters.similar_groups(table(spark, folder, "fingerprint"))
+    return clusters.describe(members, edges)
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
 
