@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions.keys import usable_year, with_molecule, with_target
-from mensura.llm import clusters, fusion, neighbours, overlap, splits
+from mensura.llm import clusters, fusion, leakage, neighbours, overlap, splits
 from mensura.session import cut
 from mensura.sources.tables import table
 
@@ -74,6 +74,23 @@ def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.describe(members, edges)
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder)
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return leakage.without_leaks(docs.select("doc_id", "lang", "source"), cut(_leaks(spark, folder)))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
 
