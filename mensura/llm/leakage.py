@@ -115,30 +115,65 @@ def matches(items: Items, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return item[begins], start[begins], at[begins], length
 
 
-def holds(item: np.ndarray, text: np.ndarray, least: int, one_in: int) -> bool:
-    """Whether ``text`` holds a stretch of ``least`` or more words of ``item`` with at most one edit in ``one_in`` of them.
+def windows(one_in: int) -> tuple[tuple[int, int], ...]:
+    """(words, edits) of the stretches that have to be looked for.
 
-    Edit distances from every start in the item to every place in the text at once: start rows, text columns.
+    A stretch of L >= 2 * one_in words with at most L / one_in edits holds one of 2 * one_in words with 2
+    edits at most, or one of 3 * one_in with 3: below 3 * one_in words it has no third edit, below
+    4 * one_in no fourth, and a longer one whose disjoint runs of 2 * one_in words all had 3 edits would
+    have too many.
+    """
+    return (2 * one_in, 2), (3 * one_in, 3)
+
+
+def promising(items: Items, text: np.ndarray, item: np.ndarray, start: np.ndarray, at: np.ndarray, one_in: int) -> np.ndarray:
+    """Which matches lie in a window whose words mostly stand in the text near the match's diagonal (a necessary condition).
+
+    Every window of ``windows`` has DEPTH words in a row unchanged, so it holds a match, and its other
+    words lie at most ``edits`` diagonals away. All matches are judged at once.
+    """
+    reach = 3 * one_in
+    gap = np.full(reach, -1, dtype=np.int32)
+    flat = np.concatenate([x for w in items.words for x in (gap, w)] + [gap])
+    begin = np.cumsum([0] + [len(w) + reach for w in items.words])[:-1] + reach
+    padded = np.concatenate([np.zeros(reach + 3, dtype=text.dtype), text, np.zeros(reach + 3, dtype=text.dtype)])
+    out = np.zeros(len(item), dtype=bool)
+    around = np.arange(DEPTH - reach, reach)
+    for a in range(0, len(item), 20_000):
+        part = slice(a, a + 20_000)
+        mine = flat[(begin[item[part]] + start[part])[:, None] + around]
+        here = (at[part] + reach + 3)[:, None] + around
+        same = np.stack([padded[here + shift] == mine for shift in range(-3, 4)])
+        for length, edits in windows(one_in):
+            band = np.stack([same[i : i + edits + 1].any(0) for i in range(7 - edits)])
+            kept = np.cumsum(np.pad(band, ((0, 0), (0, 0), (1, 0))), axis=2, dtype=np.int32)
+            out[part] |= (kept[..., length:] - kept[..., :-length] >= length - edits).any((0, 2))
+    return out
+
+
+def holds(item: np.ndarray, text: np.ndarray, one_in: int) -> bool:
+    """Whether ``text`` holds a stretch of 2 * one_in or more words of ``item`` with at most one edit in ``one_in`` of them.
+
+    Edit distances of the windows from every start in the item to every place in the text at once.
     """
     n, m = len(item), len(text)
-    if n < least:
-        return False
     far = np.arange(m + 1, dtype=np.int32)
-    d = np.full((n, m + 1), 10_000, dtype=np.int32)
-    for i in range(n):
-        d[i] = 0  # a stretch that begins here, anywhere in the text
-        new = d[: i + 1] + 1  # word left out
-        swap = d[: i + 1, :-1] + (text != item[i])
-        new[:, 1:] = np.minimum(new[:, 1:], swap)
-        d[: i + 1] = np.minimum.accumulate(new - far, axis=1) + far  # words added
-        if i + 1 >= least:
-            starts = np.arange(0, i + 2 - least)
-            if (d[starts].min(axis=1) <= (i + 1 - starts) // one_in).any():
-                return True
+    for length, edits in windows(one_in):
+        if n < length:
+            continue
+        d = np.zeros((n - length + 1, m + 1), dtype=np.int32)
+        for t in range(length):
+            new = d + 1  # word left out
+            new[:, 1:] = np.minimum(new[:, 1:], d[:, :-1] + (item[t : t + n - length + 1, None] != text))
+            d = np.minimum.accumulate(new - far, axis=1) + far  # words added
+        if (d <= edits).any():
+            return True
     return False
 
 
-def _find(block: Items, least: int, one_in: int):
+def _find(block: Items, one_in: int):
+    least = 2 * one_in
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Words(block.vocabulary)
         for batch in batches:
@@ -154,6 +189,8 @@ def _find(block: Items, least: int, one_in: int):
             text = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
             ends = np.array(ends, dtype=np.int64)
             item, start, at, length = matches(block, text)
+            good = (length >= least) | promising(block, text, item, start, at, one_in)
+            item, start, at, length = item[good], start[good], at[good], length[good]
             doc = np.searchsorted(ends, at, "right")
             out = []
             order = np.lexsort((at, item, doc))
@@ -174,7 +211,7 @@ def _find(block: Items, least: int, one_in: int):
                             spans[-1][1] = max(b, spans[-1][1])
                         else:
                             spans.append([a, b])
-                    leaked = any(holds(words, text[a:b], least, one_in) for a, b in spans)
+                    leaked = any(holds(words, text[a:b], one_in) for a, b in spans)
                 if leaked:
                     out.append((ids[d], block.ids[q], int(length[longest]), int(at[longest] - (ends[d - 1] if d else 0))))
             cols = list(zip(*out)) if out else [[], [], [], []]
@@ -183,8 +220,8 @@ def _find(block: Items, least: int, one_in: int):
     return run
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, one_in: int = 6, block_items: int = 2000) -> DataFrame:
-    """(doc_id, item_id, longest, at_word): documents that hold a stretch of ``least`` or more words of an item, in order.
+def leaked_passages(documents: DataFrame, items: DataFrame, one_in: int = 6, block_items: int = 2000) -> DataFrame:
+    """(doc_id, item_id, longest, at_word): documents that hold a stretch of 2 * one_in or more words of an item, in order.
 
     At most one in ``one_in`` words of the stretch may be changed, left out or added; case, punctuation,
     blanks, line breaks and hyphens at line ends do not count. Every Arrow batch of documents is a shard
@@ -194,10 +231,10 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, one
     verbatim match in words and ``at_word`` its place in the document. Whole texts are read; there is no
     shuffle. Items are taken in blocks of ``block_items`` (which bounds what is sent to the tasks and the
     number of distinct words): documents are scanned once a block. Null or empty texts and items shorter
-    than ``least`` match nothing; rows with a null id are left out; repeated rows come out once.
+    than that match nothing; rows with a null id are left out; repeated rows come out once.
     """
-    if least < DEPTH * 3 or one_in < 6:
-        raise ValueError("stretches must be of 12 words or more with at most one edit in 6")
+    if one_in < 6:  # 2 * one_in words with 2 edits must have DEPTH in a row
+        raise ValueError("at most one edit in 6 words can be searched for")
     docs = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     wanted = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     n = wanted.count()
@@ -209,7 +246,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, one
         block = prepare(sorted((r["item_id"], r["text"]) for r in rows))
         if len(block.vocabulary) >= 65535:
             raise ValueError("too many distinct words in a block of items: lower block_items")
-        part = docs.mapInArrow(_find(block, least, one_in), schema)
+        part = docs.mapInArrow(_find(block, one_in), schema)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.min_by("at_word", F.struct(-F.col("longest"), F.col("at_word"))).alias("at_word"))
 
