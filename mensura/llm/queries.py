@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions.keys import usable_year, with_molecule, with_target
-from mensura.llm import clusters, fusion, leakage, neighbours, overlap, splits
+from mensura.llm import clusters, fusion, leakage, neighbours, overlap, quality, splits
 from mensura.session import cut
 from mensura.sources.tables import table
 
@@ -91,6 +91,14 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.without_leaks(docs.select("doc_id", "lang", "source"), cut(_leaks(spark, folder)))
 
 
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.ratios(quality.text_counts(table(spark, folder, "documents")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_statistics(spark, folder).filter("text_kind <> 'prose'").select("doc_id", "text_kind")
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
 
