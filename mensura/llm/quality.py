@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +30,15 @@ WINDOW = 64
 #: Longest line fragment kept open; what is longer is cut at a blank.
 OPEN = 65_536
 
-SYMBOL = re.compile(r"[^\w\s]|_")
+#: Share of repeated pairs of words from which a text says the same over and over.
+REPEATED = 0.7
+ENDS = frozenset(".!?:;…\"”»")
+#: 1 letter, 2 symbol, 0 digits, blanks and halves of characters beyond the basic plane.
+CLASS = np.array([0 if 0xD800 <= i < 0xE000 else 1 if chr(i).isalpha() else 0 if chr(i).isalnum() or chr(i).isspace() else 2 for i in range(65536)], dtype=np.uint8)
 BULLET = re.compile(r"^\s*(?:[•*▪◦‣·–—-]\s+\S|o\s+\S|\(?\d{1,4}[.)]\s|\(?[a-z][.)]\s|\(?[ivx]+[.)]\s|example\s+\d+\s*$|\d{1,4}\s*(?:\.{2,}|[-–—:=])\s)", re.I)
 GAPS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
+CAPTIONS = ("table", "tabelle", "tableau", "tabla")
+CAPTION = re.compile(r"^\s*\w+\s+\d+", re.I)
 WIDE = re.compile(r"\S {3,}\S")
 MACHINE = re.compile(r"0x[0-9a-f]{4,}|##\w+##|<img\b|\[formula\s*\d+\]|^\W*page\s+\d+(\s+of\s+\d+)?\W*$", re.I)
 PAGE_NUMBER = re.compile(r"^\W*\d+\W*$")
@@ -44,48 +51,48 @@ CELL_MARK = re.compile(r"</?t[dhr]\b|</?table\b", re.I)
 SHORT_FORMULA = re.compile(r"^(?:[A-Z][a-z]?\d*){3,}$")
 
 
-def line_kind(line: str, words: list[str], common: int) -> str:
-    """prose, list, table, junk, or '' for a line too slight to say."""
-    n = len(words)
-    tight = "".join(words)
-    size = len(tight)
+def line_kind(line: str, words: list[str], common: int, tight: str) -> str:
+    """prose, list, table or junk. ``words`` are the line's words in lower case, ``tight`` all their characters."""
+    n, size, plain = len(words), len(tight), line.isascii()
     talk = common / n
-    if n >= 6 and talk >= 0.15 and not CELL_MARK.search(line):
-        return "junk" if len(BROKEN.findall(line)) * 2 > size else "prose"
-    symbols = len(SYMBOL.findall(tight))
-    letters = sum(map(str.isalpha, tight))
-    if CELL_MARK.search(line):
+    marked = "<t" in line or "</t" in line
+    if n >= 6 and talk >= 0.15 and not (marked and CELL_MARK.search(line)):
+        return "junk" if not plain and len(BROKEN.findall(line)) * 2 > size else "prose"
+    if marked and CELL_MARK.search(line):
         return "table"
-    if RULER.match(line) and size >= 3 and ("+" in line or "|" in line or "---" in line or "===" in line):
+    solid = sum(map(str.isalnum, tight))
+    letters = sum(map(str.isalpha, tight)) if solid else 0
+    symbols = size - solid
+    if line[0] in "+|-= " and size >= 3 and RULER.match(line) and ("+" in line or "|" in line or "---" in line or "===" in line):
         return "table" if "-" in line or "=" in line else "junk"
-    if PAGE_NUMBER.match(line) or not letters and not any(map(str.isdigit, tight)):
+    if not solid or not letters and PAGE_NUMBER.match(line):
         return "junk"
-    if len(BROKEN.findall(line)) * 3 > size:
+    if not plain and len(BROKEN.findall(line)) * 3 > size:
         return "junk"
     if symbols > 0.6 * size and letters < 0.1 * size and "+++" not in line and line.count("&") < 2:
         return "junk"
-    if line.count("|") >= 2 or line.count("\t") >= 2 or (line.count(" & ") >= 1 and line.rstrip().endswith("\\\\")):
-        return "junk" if symbols > 0.75 * size and letters == 0 and not any(map(str.isdigit, tight)) and "+++" not in line else "table"
-    if MACHINE.search(line) or any(len(w) >= 40 and CODE_LINE.match(w) for w in words):
+    if line.count("|") >= 2 or line.count("\t") >= 2 or (" & " in line and line.rstrip().endswith("\\\\")):
+        return "table"
+    if MACHINE.search(line) or size >= 40 and any(len(w) >= 40 and CODE_LINE.match(w) for w in words):
         return "junk"
-    if FORMULA_MARK.search(line) or SHORT_FORMULA.match(tight):
+    if FORMULA_MARK.search(line) or SHORT_FORMULA.match(line.replace(" ", "")):
         return "junk" if talk < 0.15 else "prose"
-    if len(GAPS.findall(line)) >= 2 and WIDE.search(line) and talk < 0.15 or line.count("\t") == 1 and n <= 6 and talk < 0.15:
-        return "table"
-    tight_commas = line.count(",") - line.count(", ") - line.count(",\n")
-    if tight_commas >= 1 and talk == 0 and size / (tight_commas + 1) <= 14 and not CITATION.match(line) and (line.count(",") >= 2 or any(map(str.isdigit, tight))):
+    if talk < 0.15 and ("  " in line and WIDE.search(line) and len(GAPS.findall(line)) >= 2 or "\t" in line and n <= 6):
         return "table"
-    if line.count(";") >= 3 and talk < 0.1:
+    commas = line.count(",")
+    if commas and talk == 0:
+        close = commas - line.count(", ")
+        if close and size / (close + 1) <= 14 and not CITATION.match(line) and (commas >= 2 or any(map(str.isdigit, tight))):
+            return "table"
+    if talk < 0.1 and line.count(";") >= 3:
         return "list"
     if BULLET.match(line):
         return "list" if n <= 5 or talk < 0.2 and n <= 20 else "prose"
     if CITATION.match(line):
         return "list"
-    if re.match(r"^\s*(table|tabelle|tableau|tabla)\s+\d+", line, re.I):
+    if words[0] in CAPTIONS and n <= 6 and CAPTION.match(line):
         return "table"
-    if n <= 6 and talk < 0.2:
-        return "list"
-    return "prose"
+    return "list" if n <= 6 and talk < 0.2 else "prose"
 
 
 @dataclass
@@ -136,9 +143,9 @@ class Part:
     def of(cls, text: str) -> Part:
         if "\n" not in text:
             return cls([0] * len(COUNTS), Said(), None, text).bounded()
-        lines = text.split("\n")
-        counts, said = judge(lines[1:-1])
-        return cls(counts, said, lines[0], lines[-1]).bounded()
+        first, last = text.index("\n"), text.rindex("\n")
+        counts, said = judge(text[first + 1 : last])
+        return cls(counts, said, text[:first], text[last + 1 :]).bounded()
 
     def bounded(self) -> Part:
         """Close what is open for too long, at a blank if there is one."""
@@ -151,8 +158,8 @@ class Part:
                 self.take(piece)
         return self
 
-    def take(self, line: str, ended: bool = False) -> None:
-        counts, said = judge([line], ended)
+    def take(self, line: str) -> None:
+        counts, said = judge(line)
         self.counts = [x + y for x, y in zip(self.counts, counts)]
         self.said = self.said.then(said)
 
@@ -165,15 +172,15 @@ class Part:
         if out.head is None:
             out.head = out.tail + other.head
         else:
-            out.take(out.tail + other.head, ended=True)
+            out.take(out.tail + other.head)
         out.counts = [x + y for x, y in zip(out.counts, other.counts)]
         out.said = out.said.then(other.said)
         out.tail = other.tail
         return out.bounded()
 
     def finish(self) -> list[float]:
-        front, front_said = judge([self.head]) if self.head is not None else ([0] * len(COUNTS), Said())
-        back, back_said = judge([self.tail])
+        front, front_said = judge(self.head or "")
+        back, back_said = judge(self.tail)
         counts = [x + y + z for x, y, z in zip(front, self.counts, back)]
         counts[AT["repeated"]] = front_said.then(self.said).then(back_said).repeated
         return counts
@@ -187,27 +194,31 @@ class Part:
         return cls(counts, Said(repeated, first, last), head, tail)
 
 
-def judge(lines: list[str], ended: bool = True) -> tuple[list[float], Said]:
-    """Counts over whole lines, and their words for the repeats."""
-    n_words = word_chars = symbols = n_lines = ended_lines = common_words = letters = 0
-    kinds = {"prose": 0, "list": 0, "table": 0, "junk": 0, "": 0}
+def judge(text: str, repeats: bool = True) -> tuple[list[float], Said]:
+    """Counts over whole lines, and their words for the repeats.
+
+    Without ``repeats`` they are only counted where they can matter: the first time a word comes up it
+    opens a new pair, so repeats cannot reach the rule's share while the words are that various.
+    """
+    n_words = word_chars = n_lines = ended_lines = common_words = 0
+    kinds = {"prose": 0, "list": 0, "table": 0, "junk": 0}
     spoken: list[str] = []
-    for line in lines:
-        words = line.lower().split()
+    for line, low in zip(text.split("\n"), text.lower().split("\n")):
+        words = low.split()
         if not words:
             continue
         common = sum(map(COMMON.__contains__, words))
-        size = sum(map(len, words))
+        tight = "".join(words)
         n_lines += 1
         n_words += len(words)
-        word_chars += size
+        word_chars += len(tight)
         common_words += common
-        symbols += len(SYMBOL.findall(line))
-        letters += any(map(str.isalpha, line))
-        ended_lines += words[-1][-1] in ".!?:;…\"”»"
-        kinds[line_kind(line, words, common)] += size
+        ended_lines += tight[-1] in ENDS
+        kinds[line_kind(line, words, common, tight)] += len(tight)
         spoken += words
-    return [word_chars, n_words, word_chars, symbols, n_lines, ended_lines, common_words, letters, kinds["prose"], kinds["list"], kinds["table"], kinds["junk"], 0], Said.of(spoken)
+    classes = CLASS[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)]
+    said = Said.of(spoken) if repeats or len(set(spoken)) <= (1 - REPEATED) * n_words + 1 else Said()
+    return [word_chars, n_words, word_chars, int((classes == 2).sum()), n_lines, ended_lines, common_words, int((classes == 1).sum()), kinds["prose"], kinds["list"], kinds["table"], kinds["junk"], said.repeated], said
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +227,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, nth, of, texts = (batch.column(i).to_pylist() for i in range(4))
         counts, open_parts = [], []
         for t, n in zip(texts, of):
-            part = Part.of(t)
-            counts.append([float(x) for x in part.finish()] if n == 1 else None)
-            open_parts.append(None if n == 1 else part.dump())
+            counts.append([float(x) for x in judge(t, repeats=False)[0]] if n == 1 else None)
+            open_parts.append(None if n == 1 else Part.of(t).dump())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nth, pa.int32()), pa.array(counts, pa.list_(pa.float64())), pa.array(open_parts, pa.binary())], names=["doc_id", "nth", "counts", "part"])
 
 
@@ -273,7 +283,7 @@ def ratios(counted: DataFrame) -> DataFrame:
     total = c("chars")
     best = F.greatest(c("prose"), c("list"), c("table"), c("junk"))
     kind = (
-        F.when((c("words") == 0) | (c("letters") == 0), "junk").when((c("words") >= 12) & (c("repeated") >= 0.7 * c("words")), "junk")
+        F.when((c("words") == 0) | (c("letters") == 0), "junk").when((c("words") >= 12) & (c("repeated") >= REPEATED * c("words")), "junk")
         .when(c("junk") > 0.5 * total, "junk").when(c("table") > 0.5 * total, "table").when(c("list") > 0.5 * total, "list")
         .when(c("prose") == best, "prose").when(c("list") == best, "list").when(c("table") == best, "table").otherwise("junk")
     )
