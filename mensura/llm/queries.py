@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions.keys import usable_year, with_molecule, with_target
-from mensura.llm import clusters, fusion, leakage, neighbours, overlap, quality, splits
+from mensura.llm import clusters, fusion, leakage, neighbours, overlap, packing, quality, splits
 from mensura.session import cut
 from mensura.sources.tables import table
 
@@ -74,6 +74,18 @@ def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.describe(members, edges)
 
 
+def p8_pack_2048(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), 2048)
+
+
+def p8_pack_8192(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), 8192)
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(cut(p8_pack_2048(spark, folder)), 2048).unionByName(packing.fill_report(cut(p8_pack_8192(spark, folder)), 8192))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
