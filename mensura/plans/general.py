@@ -46,3 +46,16 @@ def p7_table(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p5_found, p5_filled, p7_found, p7_table)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """The mode of every assay's usable years, in SQL."""
+    from mensura.plans.oracle import present
+
+    assay = f"upper({present('assay_id')})"
+    return {
+        "p5_found": f"""with m as (select row_id, {assay} as assay, case when year between 1970 and 2026 then year end as year from measurement),
+            counted as (select assay, year, count(*) as n from m where assay is not null and year is not null group by 1, 2),
+            modes as (select assay, year from counted qualify row_number() over (partition by assay order by n desc, year) = 1)
+            select m.row_id, modes.year from m join modes using (assay) where m.year is null"""
+    }
