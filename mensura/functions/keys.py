@@ -57,15 +57,15 @@ def with_molecule(df: DataFrame, id_col: str = "rec_id", key: str = "inchikey",
     shuffled against the (text, key) counts; the others pass straight through.
     """
     base = df.withColumn(out, molecule_key(key))
-    lost = base.filter(F.col(out).isNull()).drop(out).withColumn("_s", present(smiles))
-    texts = lost.filter(F.col("_s").isNotNull()).select("_s").distinct()
+    lost = base.filter(F.col(out).isNull()).drop(out).withColumn("__text", present(smiles))
+    texts = lost.filter(F.col("__text").isNotNull()).select("__text").distinct()
     stated = (
-        base.filter(F.col(out).isNotNull()).select(present(smiles).alias("_s"), F.col(out))
-        .join(texts, "_s", "left_semi")
-        .groupBy("_s", out).agg(F.count("*").alias("_n"))
-        .groupBy("_s").agg(F.min_by(out, F.struct(-F.col("_n"), F.col(out))).alias(out))
+        base.filter(F.col(out).isNotNull()).select(present(smiles).alias("__text"), F.col(out))
+        .join(texts, "__text", "left_semi")
+        .groupBy("__text", out).agg(F.count("*").alias("__n"))
+        .groupBy("__text").agg(F.min_by(out, F.struct(-F.col("__n"), F.col(out))).alias(out))
     )
-    found = lost.join(stated, "_s", "left").drop("_s")
+    found = lost.join(stated, "__text", "left").drop("__text")
     return base.filter(F.col(out).isNotNull()).unionByName(found)
 
 
@@ -76,12 +76,12 @@ def with_target(df: DataFrame, targets: DataFrame, gene: str = "gene", target: s
     ``targets`` is joined on the name, so its size is up to Spark's own broadcast threshold.
     """
     names = (
-        targets.select(F.upper(trimmed("chembl_id")).alias("_t"), F.explode(F.array_union(F.array("gene"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("_g"))
-        .select(F.upper(trimmed("_g")).alias("_g"), "_t").filter("_g is not null").groupBy("_g").agg(F.min("_t").alias("_t"))
+        targets.select(F.upper(trimmed("chembl_id")).alias("__target"), F.explode(F.array_union(F.array("gene"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("__gene"))
+        .select(F.upper(trimmed("__gene")).alias("__gene"), "__target").filter("__gene is not null").groupBy("__gene").agg(F.min("__target").alias("__target"))
     )
     own = F.regexp_replace(F.upper(present(target)), "^BDB:\\s*", "")
     return (
-        df.withColumn("_g", F.upper(present(gene))).join(names, "_g", "left")
-        .withColumn(out, F.when(F.col("_g").isNull(), F.when(~own.isin(*MISSING), own)).otherwise(F.coalesce("_t", F.concat(F.lit("GENE:"), "_g"))))
-        .drop("_g", "_t")
+        df.withColumn("__gene", F.upper(present(gene))).join(names, "__gene", "left")
+        .withColumn(out, F.when(F.col("__gene").isNull(), F.when(~own.isin(*MISSING), own)).otherwise(F.coalesce("__target", F.concat(F.lit("GENE:"), "__gene"))))
+        .drop("__gene", "__target")
     )

@@ -94,8 +94,10 @@ def fill_from_clusters(df: DataFrame, field: Column, entity: Column, numeric: di
     cluster; ``table`` - the median of all rows. ``observed`` marks values that were there, ``none``
     rows for which no level knows a value. Null entities never match each other. Counts are folded per
     (entity, value) before any shuffle, so an entity with a third of all rows moves as a few rows.
+    Ids must be unique; a column that is called like ``out`` or ``method`` is replaced. An empty table gives no rows.
     """
-    rows = df.select(F.col(id_col).alias("_id"), field.alias("_v"), entity.alias("_e"), *[c.cast("double").alias(f"_n_{n}") for n, c in numeric.items()], *[c.cast("string").alias(f"_k_{n}") for n, c in categorical.items()])
+    df = df.drop(out, method)
+    rows = df.select(F.col(id_col).alias("__id"), field.alias("_v"), entity.alias("_e"), *[c.cast("double").alias(f"_n_{n}") for n, c in numeric.items()], *[c.cast("string").alias(f"_k_{n}") for n, c in categorical.items()])
     nums, cats = [f"_n_{n}" for n in numeric], [f"_k_{n}" for n in categorical]
     p = fit_prototypes(rows.select(*nums, *cats), nums, cats, k)
     cluster = p.nearest() if p else F.lit(0)
@@ -106,7 +108,7 @@ def fill_from_clusters(df: DataFrame, field: Column, entity: Column, numeric: di
     gaps = rows.filter("_v is null").withColumn("_c", cluster)
     filled = (
         gaps.join(modes, "_e", "left").join(by_cluster, "_c", "left").withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one", "left")
-        .select("_id", F.coalesce("_entity", "_cluster", "_table").alias(out), F.when(F.col("_entity").isNotNull(), "entity").when(F.col("_cluster").isNotNull(), "cluster").when(F.col("_table").isNotNull(), "table").otherwise("none").alias(method))
+        .select("__id", F.coalesce("_entity", "_cluster", "_table").alias(out), F.when(F.col("_entity").isNotNull(), "entity").when(F.col("_cluster").isNotNull(), "cluster").when(F.col("_table").isNotNull(), "table").otherwise("none").alias(method))
     )
     seen = df.filter(field.isNotNull()).withColumn(out, field).withColumn(method, F.lit("observed"))
-    return seen.unionByName(df.filter(field.isNull()).join(filled, F.col(id_col) == F.col("_id"), "left").drop("_id"))
+    return seen.unionByName(df.filter(field.isNull()).join(filled, F.col(id_col) == F.col("__id"), "left").drop("__id"))

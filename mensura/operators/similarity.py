@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mensura.functions.fingerprint import N_BITS, SHIFT, code, positions, tanimoto
+from mensura.functions.batches import packed, runs, similarities, unpack
+from mensura.functions.fingerprint import N_BITS, code, positions, tanimoto
 from mensura.functions.keys import molecule_key
+from mensura.session import cut
 
 
 def first_sets(vectors: DataFrame, key: str = "inchikey") -> DataFrame:
@@ -35,9 +39,9 @@ def query_pairs(queries: DataFrame, all_sets: DataFrame, id_col: str = "set_id")
     return met.select("a", "b", tanimoto(F.col("shared"), F.col("na"), F.col("nb")).alias("similarity"))
 
 
-def _bits(codes: list) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(c) // 2 for c in codes])
-    flat = np.frombuffer(b"".join(bytes(c) for c in codes), dtype=">u2").astype(np.int64) - SHIFT
+def _dense(codes: list) -> tuple[np.ndarray, np.ndarray]:
+    flat, offsets = unpack([bytes(c) for c in codes])
+    n = np.diff(offsets)
     dense = np.zeros((len(codes), N_BITS), dtype=np.float32)
     dense[np.repeat(np.arange(len(codes)), n), flat] = 1
     return dense, n
@@ -60,8 +64,8 @@ def nearest(queries: DataFrame, all_sets: DataFrame, by: list[str], block: int =
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         best = np.zeros(len(a))
         if len(a) and len(b):
-            x, nx = _bits(list(a["code"]))
-            y, ny = _bits(list(b["code"]))
+            x, nx = _dense(list(a["code"]))
+            y, ny = _dense(list(b["code"]))
             both = (x @ y.T).astype(np.float64)
             either = nx[:, None] + ny[None] - both
             best = np.divide(both, either, out=np.zeros_like(both), where=either > 0).max(1)
@@ -77,22 +81,48 @@ def nearest(queries: DataFrame, all_sets: DataFrame, by: list[str], block: int =
     return queries.select(*by, "a").join(best, [*by, "a"], "left").select(*by, "a", F.coalesce("nn", F.lit(0.0)).alias("nn"))
 
 
-def range_join(sets: DataFrame, least: float, id_col: str = "set_id") -> DataFrame:
-    """(a, b, similarity), a < b: all pairs of sets of similarity ``least`` or more, exactly.
-
-    Prefix filter: with the positions ordered rarest first, two such sets share one of their first
-    n - ceil(least * n) + 1 positions, and the smaller has at least ``least`` times the larger's number.
-    The table of position counts has N_BITS rows at most. Copies should be folded before.
+def _compare(least: float):
+    """Pairs of a token's block pair; a pair comes out only where the token is the first that the two sets share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in runs(batches, ["token", "lo", "hi"]):
+            token, lo, hi = (int(g[c].iloc[0]) for c in ("token", "lo", "hi"))
+            flat, offsets = unpack([bytes(c) for c in g["code"]])
+            bits, n = packed(flat, offsets)
+            ids, block = g["id"].to_numpy(), g["block"].to_numpy()
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            sim = similarities(bits[left], n[left], bits[right], n[right])
+            r, c = np.nonzero(sim >= least)
+            s = sim[r, c]
+            r, c = left[r], right[c]
+            keep = ids[r] < ids[c] if lo == hi else ids[r] != ids[c]
+            r, c, s = r[keep], c[keep], s[keep]
+            shared = np.unpackbits((bits[r] & bits[c]).view(np.uint8), axis=1)
+            first = shared.argmax(1) == token if len(r) else np.zeros(0, dtype=bool)
+            a, b = np.minimum(ids[r], ids[c])[first], np.maximum(ids[r], ids[c])[first]
+            yield pd.DataFrame({"a": a, "b": b, "similarity": s[first]})
+
+    return run
+
+
+def range_join(sets: DataFrame, least: float, id_col: str = "set_id", block: int = 1024) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of sets of similarity ``least`` or more, exactly, each once.
+
+    Prefix filter: with the positions numbered rarest first, two such sets share one of their first
+    n - ceil(least * n) + 1 positions. The sets that have a position in their prefix meet in one task;
+    a position with more than ``block`` of them is cut into pairs of blocks. Only pairs that reach
+    ``least`` leave the task, from the first position they share. ``least`` must be above 0, ids are
+    numbers, sets not empty; copies should be folded before. The table of position counts has N_BITS
+    rows at most.
     """
-    flat = sets.select(F.col(id_col).alias("id"), "n_on", F.explode("pos").alias("p"))
+    flat = sets.select(F.col(id_col).alias("id"), F.explode("pos").alias("p"))
     counts = flat.groupBy("p").agg(F.count("*").alias("c"))
-    ranked = flat.join(counts, "p").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("c", "p")))
-    prefix = ranked.filter(F.col("r") <= F.col("n_on") - F.ceil(F.lit(least) * F.col("n_on") - 1e-9) + 1).select("id", "n_on", "p")
-    a = prefix.select("p", F.col("id").alias("a"), F.col("n_on").alias("na"))
-    b = prefix.select("p", F.col("id").alias("b"), F.col("n_on").alias("nb"))
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    candidates = a.join(b, "p").filter((F.col("a") < F.col("b")) & (small >= least * large - 1e-9)).select("a", "b").distinct()
-    x = sets.select(F.col(id_col).alias("a"), F.col("pos").alias("pa"), F.col("n_on").alias("na"))
-    y = sets.select(F.col(id_col).alias("b"), F.col("pos").alias("pb"), F.col("n_on").alias("nb"))
-    both = candidates.join(x, "a").join(y, "b")
-    return both.select("a", "b", tanimoto(F.size(F.array_intersect("pa", "pb")), F.col("na"), F.col("nb")).alias("similarity")).filter(F.col("similarity") >= least)
+    numbered = counts.select("p", (F.row_number().over(W.orderBy("c", "p")) - 1).alias("r"))  # N_BITS rows
+    coded = flat.join(F.broadcast(numbered), "p").groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("ranks"))
+    prefix = F.size("ranks") - F.ceil(F.lit(least) * F.size("ranks") - 1e-9) + 1
+    rows = cut(coded.select("id", code("ranks").alias("code"), F.explode(F.slice("ranks", F.lit(1), prefix.cast("int"))).alias("token")))
+    sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = rows.join(F.broadcast(sizes), "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))  # N_BITS rows
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "code")
+    met = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return met.mapInPandas(_compare(least), "a bigint, b bigint, similarity double")
