@@ -64,7 +64,8 @@ def fuse_records(records: DataFrame, targets: DataFrame, rounds: int = 8) -> Fus
     count once. Extra columns are ignored. Everything is keyed aggregation; a group's records are
     never gathered.
     """
-    clean = with_target(with_molecule(records.dropDuplicates(["rec_id"])), targets).withColumn("endpoint_key", compact("endpoint"))
+    own = records.select("rec_id", "inchikey", "gene", "endpoint", "std_smiles", "pchembl", "year", "target_chembl_id", "source", "sources", "updated_at")
+    clean = with_target(with_molecule(own.filter("rec_id is not null").dropDuplicates(["rec_id"])), targets).withColumn("endpoint_key", compact("endpoint"))
     clean = clean.filter("molecule is not null and target is not null and endpoint_key is not null")
     clean = clean.select(
         "rec_id", "molecule", "target", "endpoint_key",

@@ -71,7 +71,7 @@ def prepare(items: list[tuple[int, str]]) -> Items:
         ids.append(item_id)
         words.append(np.array([vocabulary.setdefault(b, len(vocabulary) + 1) for b in bare], dtype=np.int32))
     keys = [key_of(w) if len(w) >= DEPTH else np.zeros(0, dtype=np.uint64) for w in words]
-    item = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+    item = np.repeat(np.arange(len(ids)), np.array([len(k) for k in keys], dtype=np.int64))
     start = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, dtype=np.int64)
     return Items(ids, words, vocabulary, np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64), item, start)
 

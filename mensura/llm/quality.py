@@ -224,12 +224,12 @@ def judge(text: str, repeats: bool = True) -> tuple[list[float], Said]:
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Part of every chunk; single chunks are finished at once."""
     for batch in batches:
-        ids, nth, of, texts = (batch.column(i).to_pylist() for i in range(4))
+        nth, of, texts = (batch.column(i).to_pylist() for i in range(2, 5))
         counts, open_parts = [], []
         for t, n in zip(texts, of):
             counts.append([float(x) for x in judge(t, repeats=False)[0]] if n == 1 else None)
             open_parts.append(None if n == 1 else Part.of(t).dump())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nth, pa.int32()), pa.array(counts, pa.list_(pa.float64())), pa.array(open_parts, pa.binary())], names=["doc_id", "nth", "counts", "part"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nth, pa.int32()), pa.array(counts, pa.list_(pa.float64())), pa.array(open_parts, pa.binary())], names=["doc_id", "copy", "nth", "counts", "part"])
 
 
 def _merge(last: bool):
@@ -238,7 +238,7 @@ def _merge(last: bool):
         total = parts[0]
         for p in parts[1:]:
             total = total.then(p)
-        return pd.DataFrame({"doc_id": [key[0]], "nth": [key[1]], "counts": [[float(x) for x in total.finish()] if last else None], "part": [None if last else total.dump()]})
+        return pd.DataFrame({"doc_id": [key[0]], "copy": [key[1]], "nth": [key[2]], "counts": [[float(x) for x in total.finish()] if last else None], "part": [None if last else total.dump()]})
 
     return run
 
@@ -255,16 +255,16 @@ def text_counts(documents: DataFrame, chunk: int = 32_768, fan_in: int = 16) ->
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "\\r\\n?|[\\u2028\\u2029\\u0085\\u000b\\u000c]", "\n")
     docs = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"))
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / chunk)).cast("int")
-    chunks = docs.withColumn("of", n).select("doc_id", "of", "text", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("nth"))
-    chunks = chunks.select("doc_id", "nth", "of", F.when(F.col("of") == 1, F.col("text")).otherwise(F.substring("text", F.col("nth") * chunk + 1, F.lit(chunk))).alias("text"))
-    schema = "doc_id bigint, nth int, counts array<double>, part binary"
+    chunks = docs.withColumn("of", n).select("doc_id", F.xxhash64("text").alias("copy"), "of", "text", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("nth"))
+    chunks = chunks.select("doc_id", "copy", "nth", "of", F.when(F.col("of") == 1, F.col("text")).otherwise(F.substring("text", F.col("nth") * chunk + 1, F.lit(chunk))).alias("text"))
+    schema = "doc_id bigint, copy bigint, nth int, counts array<double>, part binary"
     parts = chunks.mapInArrow(_whole, schema)
     parts = cut(parts)
-    done, level = parts.filter("counts is not null").select("doc_id", "counts"), parts.filter("counts is null")
+    done, level = parts.filter("counts is not null").select("doc_id", "counts"), parts.filter("counts is null").dropDuplicates(["doc_id", "copy", "nth"])
     most = level.agg(F.max("nth")).first()[0]
     while most is not None:
         last = most < fan_in
-        level = level.groupBy("doc_id", F.floor(F.col("nth") / fan_in).cast("int").alias("up")).applyInPandas(_merge(last), schema)
+        level = level.groupBy("doc_id", "copy", F.floor(F.col("nth") / fan_in).cast("int").alias("up")).applyInPandas(_merge(last), schema)
         most = None if last else most // fan_in
         if last:
             done = done.unionByName(level.select("doc_id", "counts"))

@@ -18,12 +18,12 @@ PROPORTIONS = {"train": 0.8, "valid": 0.1, "test": 0.1}
 def related_groups(records: DataFrame, keys: list[Column], id_col: str = "rec_id") -> DataFrame:
     """(id, group_id): records that share a value of any of ``keys``, also through other records; group_id is the smallest id.
 
-    Null keys relate nothing. Every value is first replaced by the smallest id that has it, so the graph
+    Null keys relate nothing; rows with a null id are left out. Every value is first replaced by the smallest id that has it, so the graph
     has one edge per distinct pair of values and not one per pair of records; a value that a third of
     all records share is one node.
     """
-    base = records.select(F.col(id_col).alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(keys)]).groupBy("id").agg(*[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
-    again = records.select(F.col(id_col).alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    again = records.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    base = again.groupBy("id").agg(*[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
     for i in range(len(keys)):
         named = again.filter(F.col(f"k{i}").isNotNull()).groupBy(f"k{i}").agg(F.min("id").alias(f"h{i}"))
         base = base.join(named, f"k{i}", "left")
