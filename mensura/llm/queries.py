@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions.keys import usable_year, with_molecule, with_target
-from mensura.llm import clusters, fusion, leakage, neighbours, overlap, packing, quality, splits
+from mensura.llm import clusters, fusion, leakage, neighbours, oracle, overlap, packing, quality, splits
 from mensura.session import cut
 from mensura.sources.tables import table
 
@@ -116,4 +116,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
