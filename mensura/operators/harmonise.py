@@ -50,8 +50,9 @@ def repeated_keys(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def require_unique(rows: DataFrame, by: list[str]) -> DataFrame:
     """The rows, failing the job if a key occurs twice."""
-    checked = rows.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.concat_ws("|", *by)))).alias("_ok"))
-    return rows.join(checked, by).drop("_ok")
+    repeated = F.raise_error(F.concat(F.lit("repeated key: "), F.concat_ws("|", *by))).cast("boolean")
+    checked = rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.when(F.col("_n") > 1, repeated).otherwise(F.lit(True))).select(*by)
+    return rows.join(checked, by)
 
 
 def overlap_report(merged: DataFrame, naive: DataFrame) -> DataFrame:

@@ -22,14 +22,15 @@ def point_metrics(test: DataFrame) -> DataFrame:
 
 
 def spearman(test: DataFrame) -> DataFrame:
-    """Correlation of average ranks per (split, seed); null for two rows or fewer."""
+    """Correlation of average ranks per (split, seed); null for two rows or fewer and for constants."""
     out = test.select(*BY, "y", F.round("mu", 9).alias("mu"))
     for c in ("y", "mu"):
         ties = out.groupBy(*BY, c).agg(F.count("*").alias("_n"))
         below = F.coalesce(F.sum("_n").over(W.partitionBy(*BY).orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         ranks = ties.withColumn(f"r_{c}", below + (F.col("_n") + 1) / 2).drop("_n")
         out = out.join(ranks, [*BY, c])
-    return out.groupBy(*BY).agg(_r(F.when(F.count("*") > 2, F.corr("r_y", "r_mu")), "spearman"))
+    together = F.try_divide(F.covar_pop("r_y", "r_mu"), F.stddev_pop("r_y") * F.stddev_pop("r_mu"))
+    return out.groupBy(*BY).agg(_r(F.when(F.count("*") > 2, together), "spearman"))
 
 
 def coverage_strata(test: DataFrame, near: float = 0.7, novel: float = 0.5) -> DataFrame:
