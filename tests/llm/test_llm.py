@@ -255,7 +255,7 @@ def test_packing(spark):
 
 TEXTS = {
     "prose": "The well is dry because the pump was not on.\nIt has been said that a man can walk to the sea in one day, if the road is good.",
-    "list": "\n".join(f"- {i}-methylthing" for i in range(12)), "table": "\n".join("| a | 1.0 | 2.0 |" for _ in range(9)), "junk": "\n".join(f"reg=0x{i:08x};" for i in range(9)),
+    "list": "\n".join(f"- {i}-methylthing" for i in range(12)), "table": "\n".join(f"| a{i} | {i}.5 | 2.{i} |" for i in range(9)), "junk": "\n".join(f"reg=0x{i:08x};" for i in range(9)),
 }
 
 
