@@ -47,19 +47,24 @@ def _dense(codes: list) -> tuple[np.ndarray, np.ndarray]:
     return dense, n
 
 
-def nearest(queries: DataFrame, all_sets: DataFrame, by: list[str], block: int = 2000) -> DataFrame:
+def nearest(queries: DataFrame, all_sets: DataFrame, by: list[str], block: int = 2000, id_col: str | None = None) -> DataFrame:
     """(by, a, nn): exact similarity of each query to the most similar set of its ``by`` group, 0 if it shares nothing or there is none.
 
     ``queries`` has by, a, pos; ``all_sets`` has by, pos (copies are folded first). The query set is
-    compared with all sets in blocks: every pair of blocks is one task of bounded size.
+    compared with all sets in blocks: every pair of blocks is one task of bounded size. With ``id_col``,
+    the sets' id, a query is not compared with the set of its own id; copies under other ids count.
     """
     q = queries.select(*by, "a", code("pos").alias("code"))
-    s = all_sets.select(*by, code("pos").alias("code")).distinct()
+    if id_col is None:
+        s = all_sets.select(*by, code("pos").alias("code")).distinct().withColumn("only", F.lit(None).cast(dict(queries.dtypes)["a"]))
+    else:
+        ids = all_sets.select(*by, code("pos").alias("code"), F.col(id_col).alias("id")).groupBy(*by, "code").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+        s = ids.select(*by, "code", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only"))  # the id of a set that has no copy
     sizes = q.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("qn"))
     sizes = sizes.join(s.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("sn")), by, "left").withColumn("sn", F.coalesce("sn", F.lit(0)))
     ids = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
     left = q.join(sizes.filter("sn > 0"), by).withColumn("qb", F.pmod(F.xxhash64("a"), F.col("qn")).cast("int")).withColumn("sb", F.explode(ids("sn"))).select(*by, "qb", "sb", "a", "code")
-    right = s.join(sizes, by).withColumn("sb", F.pmod(F.xxhash64("code"), F.greatest(F.col("sn"), F.lit(1))).cast("int")).withColumn("qb", F.explode(ids("qn"))).select(*by, "qb", "sb", "code").toDF(*[f"s_{c}" for c in by], "s_qb", "s_sb", "code")
+    right = s.join(sizes, by).withColumn("sb", F.pmod(F.xxhash64("code"), F.greatest(F.col("sn"), F.lit(1))).cast("int")).withColumn("qb", F.explode(ids("qn"))).select(*by, "qb", "sb", "code", F.col("only").cast("string")).toDF(*[f"s_{c}" for c in by], "s_qb", "s_sb", "code", "only")
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         best = np.zeros(len(a))
@@ -68,7 +73,12 @@ def nearest(queries: DataFrame, all_sets: DataFrame, by: list[str], block: int =
             y, ny = _dense(list(b["code"]))
             both = (x @ y.T).astype(np.float64)
             either = nx[:, None] + ny[None] - both
-            best = np.divide(both, either, out=np.zeros_like(both), where=either > 0).max(1)
+            sim = np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+            column = {i: j for j, i in enumerate(b["only"]) if i is not None}
+            for r, i in enumerate(map(str, a["a"])):
+                if i in column:
+                    sim[r, column[i]] = 0
+            best = sim.max(1)
         out = pd.DataFrame({"a": a["a"].to_numpy(), "nn": best})
         for name, value in reversed(list(zip(by, key))):
             out.insert(0, name, value)

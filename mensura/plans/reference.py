@@ -155,7 +155,7 @@ def nn_tanimoto(spark: SparkSession, d: str) -> DataFrame:
     """The nearest of all other vectors for every vector whose id is divisible by 100."""
     v = _vectors(spark, d)
     q = v.filter("set_id % 100 = 0")
-    nn = similarity.nearest(q.select(F.lit(0).alias("g"), F.col("set_id").alias("a"), "pos"), v.filter("set_id % 100 <> 0").select(F.lit(0).alias("g"), "pos"), ["g"])
+    nn = similarity.nearest(q.select(F.lit(0).alias("g"), F.col("set_id").alias("a"), "pos"), v.select(F.lit(0).alias("g"), "set_id", "pos"), ["g"], id_col="set_id")
     return nn.select(F.col("a").alias("vec_id"), _r("nn"))
 
 

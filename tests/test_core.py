@@ -12,6 +12,7 @@ from mensura.functions.fingerprint import code, positions
 from mensura.operators import audit, conformal, harmonise, metrics, models, report, similarity, splits
 from mensura.operators.cluster import sphere_exclusion
 from mensura.operators.components import connected_components
+from mensura.plans import reference
 from mensura.sources import api, delimited, dump
 
 
@@ -156,6 +157,12 @@ def test_nearest_is_exact_and_zero_without_any(spark):
     assert all(got[i] == pytest.approx(max(brute(sets[i], s) for s in sets[20:])) for i in range(20))
 
 
+def test_nearest_leaves_out_only_the_row_itself(spark, tmp_path):
+    data = [(100, [1, 2, 3, 4]), (200, [1, 2, 3, 5]), (7, [1, 2, 8, 9]), (300, [20, 21]), (8, [20, 21]), (400, [30])]
+    spark.createDataFrame(data, "vec_id long, bits array<int>").withColumn("bits_text", F.lit(None).cast("string")).write.parquet(str(tmp_path / "fingerprint.parquet"))
+    assert rows(reference.nn_tanimoto(spark, str(tmp_path))) == [(100, 0.6), (200, 0.6), (300, 1.0), (400, 0.0)]
+
+
 def test_positions_from_text_and_out_of_range(spark):
     df = spark.createDataFrame([([3, 1, 3, None, 5000, -1], None), (None, "7;1, 2"), (None, None), ([], "9")], "bits array<int>, bits_text string")
     assert [r[0] for r in df.select(positions()).collect()] == [[1, 3], [1, 2, 7], [], []]
