@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mensura.functions.keys import BLANK, MISSING, trimmed
+from mensura.operators.components import connected_components
+from mensura.session import cut
 
 DELIMITERS = (";", "\t", ",", "|")
 #: Smallest hashes kept for a column's values, one a bin: a fixed-size sketch however long the file.
@@ -219,36 +221,74 @@ KNOWN = {
 }
 
 
+def _spread(known: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
+    """(node, field) of every node that ``links`` (old, new, n; both ways) join to a known one: of several fields as near, the one with most renames wins."""
+    done, front = known, known
+    for _ in range(rounds):
+        more = links.join(front.withColumnRenamed("node", "old"), "old").groupBy(F.col("new").alias("node"), "field").agg(F.sum("n").alias("n"))
+        more = more.groupBy("node").agg(F.max_by("field", F.struct("n", "field")).alias("field"))
+        front = cut(more.join(done.select("node"), "node", "left_anti"))
+        if front.isEmpty():
+            return done
+        done = cut(done.union(front))
+    raise RuntimeError(f"field names did not settle in {rounds} rounds")
+
+
 def field_names(changes: DataFrame, columns: DataFrame) -> DataFrame:
-    """(name, field): what each header text means, from the known texts and the renames that link others to them.
+    """(series_id, name, field, known): what every header text of a series means.
 
-    Two steps along the renames are taken; of several fields the one with most renames wins.
+    Known texts keep their meaning. It goes on along the series' renames until no text is added, then
+    along the renames of all series for what is still open. Texts that lead to no known field make
+    fields of their own: what renames join is one field, called by the text that most files have.
     """
     spark = columns.sparkSession
     known = spark.createDataFrame([(n, f) for f, names in KNOWN.items() for n in names], "name string, field string")
-    links = changes.filter("change_type = 'renamed'").select("old", "new")
-    links = links.union(links.select("new", "old")).groupBy("old", "new").agg(F.count("*").alias("n"))
-    for _ in range(2):
-        more = links.join(known.withColumnRenamed("name", "old"), "old").groupBy(F.col("new").alias("name"), "field").agg(F.sum("n").alias("n"))
-        more = more.groupBy("name").agg(F.max_by("field", F.struct("n", "field")).alias("field"))
-        known = known.union(more.join(known.select("name"), "name", "left_anti"))
-    return known
+    used = cut(columns.groupBy("series_id", "name").agg(F.countDistinct("file_id").alias("files")))
+    series = columns.select("file_id", "series_id").distinct()
+    renames = changes.filter("change_type = 'renamed'").join(series, "file_id").select("series_id", "old", "new")
+    links = renames.union(renames.select("series_id", "new", "old")).groupBy("series_id", "old", "new").agg(F.count("*").alias("n"))
+    links = cut(links)
+
+    node = lambda c: F.struct("series_id", F.col(c).alias("name"))
+    own = _spread(used.join(known, "name").select(node("name").alias("node"), "field"), links.select(node("old").alias("old"), node("new").alias("new"), "n"))
+    own = own.select("node.series_id", "node.name", "field")
+    everywhere = links.groupBy("old", "new").agg(F.sum("n").alias("n"))
+    other = _spread(known.select(F.col("name").alias("node"), "field"), everywhere).withColumnRenamed("node", "name")
+    found = used.join(own, ["series_id", "name"], "left").join(other.withColumnRenamed("field", "shared"), "name", "left").withColumn("field", F.coalesce("field", "shared")).drop("shared")
+    found = cut(found)
+
+    rest = found.filter("field is null").groupBy("name").agg(F.sum("files").alias("files")).withColumn("id", F.xxhash64("name"))
+    pairs = everywhere.join(rest.select(F.col("name").alias("old"), F.col("id").alias("a")), "old").join(rest.select(F.col("name").alias("new"), F.col("id").alias("b")), "new").select("a", "b")
+    groups = rest.join(connected_components(pairs).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    called = groups.groupBy("component").agg(F.max_by("name", F.struct("files", "name")).alias("own"))
+    named = groups.join(called, "component").select("name", "own")
+    return found.join(named, "name", "left").select("series_id", "name", F.coalesce("field", "own").alias("field"), F.col("field").isNotNull().alias("known"))
 
 
 def unified(files: DataFrame, lines: DataFrame, changes: DataFrame) -> DataFrame:
-    """All files as one measurement table: file_id, line_no, gene and the known fields, cast.
+    """All files as one measurement table: file_id, line_no, gene, the known fields, cast, and the others as text.
 
-    Numbers may be written with point, comma or exponent or as hundredths; years may stand inside a
-    date or a text; smiles inside a JSON object. What cannot be read becomes null. A file's column
-    that means no known field is left out here (it still shows in the report of changes).
+    Every line after the header is a row. Numbers may be written with point, comma or exponent or as
+    hundredths; years may stand inside a date or a text; smiles inside a JSON object. What cannot be
+    read becomes null. ``other`` maps the name of every further field to its filled cells as written.
+    A file's second column of the same field, one without a header and cells beyond the header's width
+    are there too, under header (or nothing), '#' and place.
     """
     columns, cells = read_lines(files, lines)
+    columns = cut(columns)
     names = field_names(changes, columns)
-    meant = columns.join(names, "name").groupBy("file_id", "field").agg(F.min("pos").alias("pos"))
+    of = columns.join(names, ["series_id", "name"])
+    first = W.partitionBy("file_id", "field").orderBy("pos")
+    of = of.withColumn("nth", F.row_number().over(first)).select("file_id", "pos", "header", "field", (F.col("known") & (F.col("nth") == 1)).alias("known"), "nth")
+    of = cut(of)
+    filled = cut(cells.filter("form is not null").join(of, ["file_id", "pos"], "left"))
     wide = (
-        cells.filter("form is not null").join(meant, ["file_id", "pos"])
-        .groupBy("file_id", "line_no").pivot("field", list(KNOWN)).agg(F.first(F.struct("value", "form")))
+        filled.filter("known").groupBy("file_id", "line_no").pivot("field", list(KNOWN)).agg(F.first(F.struct("value", "form")))
     )
+    label = F.when((F.col("nth") == 1) & ~F.col("field").rlike("#\\d+$"), F.col("field")).otherwise(F.concat(F.coalesce("header", F.lit("")), F.lit("#"), F.col("pos") + 1))
+    rest = filled.filter("not coalesce(known, false)").groupBy("file_id", "line_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(label, "value")))).alias("other"))
+    every = lines.filter("line_no > 1").select("file_id", "line_no").distinct()
+    wide = every.join(wide, ["file_id", "line_no"], "left").join(rest, ["file_id", "line_no"], "left")
     v = lambda f: F.col(f)["value"]
     number = F.replace(v("pchembl"), F.lit(","), F.lit(".")).try_cast("double")
     json_text = F.when(F.col("smiles")["form"] == "json", F.regexp_extract(v("smiles"), '"smi"\\s*:\\s*"([^"]*)"', 1)).otherwise(v("smiles"))
@@ -261,4 +301,5 @@ def unified(files: DataFrame, lines: DataFrame, changes: DataFrame) -> DataFrame
         F.regexp_extract(v("year"), "((?:19|20)\\d{2})", 1).try_cast("int").alias("year"),
         F.when(F.col("assay_id")["form"] == "whole", F.concat(F.lit("ASY"), F.lpad(v("assay_id"), 10, "0"))).otherwise(v("assay_id")).alias("assay_id"),
         v("mol_id").alias("mol_id"), digits("target_chembl_id", "TGT").alias("target_chembl_id"),
+        F.coalesce("other", F.create_map().cast("map<string,string>")).alias("other"),
     )

@@ -49,6 +49,23 @@ def test_schema_changes(spark):
     assert schema_changes(f.limit(0), lines.limit(0)).count() == 0
 
 
+def test_unified_keeps_every_field_and_line(spark):
+    body = [(f"C{i}N{i}(C)", f"{5 + i / 10:.2f}", f"note {i}") for i in range(12)]
+    mine = ["Smiles", "Neg Log Value", "Potency", "Score Reported", "pA"]
+    files = [(k, 7, [f"Smiles;{'pChEMBL Value' if k == 1 else mine[k - 1]};{'Remark' if k < 4 else 'Assay Note'}"] + [";".join(b) for b in body]) for k in range(1, 6)]
+    files[4][2].extend(["NA;NA;NA", "CC;5.5;x;beyond"])
+    files.append((6, 8, ["Smiles,Batch,smiles,", "CC,B1,CO,loose"]))
+    f, lines = make(spark, files)
+    renamed = [(k, "renamed", a.lower(), b.lower()) for k, a, b in [(2, "pChEMBL Value", mine[1]), (3, mine[1], mine[2]), (4, mine[2], mine[3]), (5, mine[3], mine[4]), (4, "Remark", "Assay Note")]]
+    changes = spark.createDataFrame(renamed, "file_id long, change_type string, old string, new string")
+    got = {(r["file_id"], r["line_no"]): r for r in unified(f, lines, changes).collect()}
+    assert len(got) == 5 * 12 + 3
+    assert [got[k, 3]["pchembl"] for k in range(1, 6)] == [5.1] * 5
+    assert [got[k, 3]["other"] for k in range(1, 6)] == [{"remark": "note 1"}] * 5
+    assert got[5, 14]["smiles"] is None and got[5, 14]["other"] == {} and got[5, 15]["other"] == {"remark": "x", "#4": "beyond"}
+    assert got[6, 2]["smiles"] == "CC" and got[6, 2]["other"] == {"batch": "B1", "smiles#3": "CO", "#4": "loose"}
+
+
 def test_equal_names_are_always_one_field():
     col = lambda name, sketch: {"name": name, "header": name, "form": "text", "n": 1, "len": 3.0, "sketch": sketch}
     assert set(correspondences([col("a", [1]), col("b", [2])], [col("b", [1]), col("a", [2])])) == {(0, 1), (1, 0)}
