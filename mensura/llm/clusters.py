@@ -39,48 +39,52 @@ def _signatures(bands: int, rows: int):
     return run
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the edges join what was apart before them (a spanning forest)."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    keep = np.zeros(len(a), dtype=bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[x] = y
-            keep[i] = True
-    return keep
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (parent, child) of a spanning forest of a symmetric boolean matrix."""
+    parent = np.full(len(near), -1)
+    unseen = near.any(1)
+    for start in np.flatnonzero(unseen).tolist():
+        if not unseen[start]:
+            continue
+        unseen[start] = False
+        todo = [start]
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(near[x] & unseen)
+            parent[new], unseen[new] = x, False
+            todo.extend(new.tolist())
+    child = np.flatnonzero(parent >= 0)
+    return parent[child], child
 
 
 def _links(least: float, strongest: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b, s, size = [], [], [], 0
-        for g in runs(batches, ["band", "block"]):
+        for g in runs(batches, ["band", "lo", "hi"]):
             if len(g) < 2:
                 continue
-            ids = g["set_id"].to_numpy()
+            ids, block = g["set_id"].to_numpy(), g["block"].to_numpy()
             bits, n = packed(*unpack([bytes(c) for c in g["code"]]))
-            sim = np.triu(similarities(bits, n, bits, n), 1)
-            r, c = np.nonzero(sim >= least)
-            if not len(r):
+            left, right = np.flatnonzero(block == g["lo"].iloc[0]), np.flatnonzero(block == g["hi"].iloc[0])
+            sim = np.zeros((len(g), len(g)))
+            sim[np.ix_(left, right)] = similarities(bits[left], n[left], bits[right], n[right])
+            sim = np.maximum(sim, sim.T)
+            np.fill_diagonal(sim, 0)
+            near = sim >= least
+            if not near.any():
                 continue
-            w = sim[r, c]
-            order = np.argsort(-w, kind="stable")
-            r, c, w = r[order], c[order], w[order]
-            keep = _forest(len(g), r, c)
-            for end in (r, c):  # each vector's strongest links
-                by = np.argsort(end, kind="stable")
-                place = np.empty(len(end), dtype=np.int64)
-                place[by] = np.arange(len(end)) - np.searchsorted(end[by], end[by])
-                keep |= place < strongest
-            lo, hi = np.minimum(ids[r], ids[c]), np.maximum(ids[r], ids[c])
-            a.append(lo[keep]); b.append(hi[keep]); s.append(w[keep])  # noqa: E702
+            keep = near.copy()
+            many = np.flatnonzero(near.sum(1) > strongest)
+            if len(many):
+                keep = np.zeros_like(near)
+                few = near.sum(1) <= strongest
+                keep[few] = near[few]
+                best = np.argpartition(-sim[many], strongest - 1, axis=1)[:, :strongest]  # each vector's strongest links
+                keep[many[:, None], best] = True
+                keep[_forest(near)] = True
+                keep |= keep.T
+            r, c = np.nonzero(np.triu(keep, 1))
+            a.append(np.minimum(ids[r], ids[c])); b.append(np.maximum(ids[r], ids[c])); s.append(sim[r, c])  # noqa: E702
             size += len(a[-1])
             if size > 50_000:
                 yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "w": np.concatenate(s)})
@@ -91,29 +95,25 @@ def _links(least: float, strongest: int):
     return run
 
 
-def affinities(sets: DataFrame, least: float = 0.65, bands: int = 32, rows: int = 4, strongest: int = 8, block: int = 256) -> DataFrame:
+def _block_pairs(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """``rows`` (by, set_id, ..) sorted into one run for every pair of blocks (lo, hi) of a ``by``; one block where that has ``block`` rows at most."""
+    hot = cut(rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"))
+    placed = rows.join(hot, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
+    return spread.repartition(by, "lo", "hi").sortWithinPartitions(by, "lo", "hi")
+
+
+def affinities(sets: DataFrame, least: float = 0.65, bands: int = 32, rows: int = 4, strongest: int = 8, block: int = 1024) -> DataFrame:
     """(a, b, w), a < b: sparse affinities of the distinct sets - each vector's strongest links and what else joins groups.
 
     Candidates share one of ``bands`` keys of ``rows`` min-hashes; a pair of similarity 0.7 is missed
-    with probability 2e-4, one of 0.65 with 2e-3, before its other links are counted. Sets of one key
-    are compared with each other. A key with more than ``block`` sets is cut into blocks by hash, each
-    of which holds the key's first sets as well, so that what hangs together stays linked through those
-    and through the other bands. Within a block the ``strongest`` links of each vector and a spanning
-    forest are kept: no link between groups is lost to the cap.
+    with probability 2e-4, one of 0.65 with 2e-3, before its other links are counted. All sets of one
+    key are compared with each other: a key with more than ``block`` sets is cut into blocks, and every
+    pair of blocks is one task of bounded size. Of a pair of blocks the ``strongest`` links of each
+    vector and a spanning forest are kept: no link between groups is lost to the cap.
     """
     keyed = sets.select("set_id", "code").mapInPandas(_signatures(bands, rows), "band bigint, set_id bigint, code binary")
-    sizes = sets.select("set_id", "code").mapInPandas(_signatures(bands, rows), "band bigint, set_id bigint, code binary").groupBy("band").agg(F.count("*").alias("n"), F.min("set_id").alias("p0"), F.max("set_id").alias("p1")).filter(F.col("n") > block)
-    hot = cut(sizes)
-    if hot.isEmpty():
-        blocked = keyed.withColumn("block", F.lit(0))
-    else:
-        cold = keyed.join(hot, "band", "left_anti").withColumn("block", F.lit(0))
-        marked = keyed.join(hot, "band").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-        everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x)
-        pivot = (F.col("set_id") == F.col("p0")) | (F.col("set_id") == F.col("p1"))
-        spread = marked.withColumn("block", F.explode(F.when(pivot, everywhere).otherwise(F.array(F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")))))
-        blocked = cold.unionByName(spread.select("band", "set_id", "code", "block"))
-    pairs = blocked.repartition("band", "block").sortWithinPartitions("band", "block").mapInPandas(_links(least, strongest), "a bigint, b bigint, w double")
+    pairs = _block_pairs(keyed, "band", block).mapInPandas(_links(least, strongest), "a bigint, b bigint, w double")
     return pairs.groupBy("a", "b").agg(F.max("w").alias("w"))
 
 

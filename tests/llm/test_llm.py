@@ -153,6 +153,20 @@ def test_source_quality_is_recovered(spark):
     assert right / len(truth) > 0.85
 
 
+def test_blocks_of_a_hot_band_all_meet(spark):
+    import pandas as pd
+
+    from mensura.functions.fingerprint import code, positions
+
+    sets = sets_of(60, 4, core=2)
+    own = vectors(spark, sets).filter("vec_id < 60").select(F.col("vec_id").alias("set_id"), code(positions()).alias("code")).cache()
+    keys = pd.concat(clusters._signatures(2, 1)([own.toPandas()]))
+    by = [set(map(int, g["set_id"])) for _, g in keys.groupby("band")]
+    want = {(i, j) for g in by for i in g for j in g if i < j and tanimoto(sets[i], sets[j]) >= 0.65}
+    got = {(r["a"], r["b"]) for r in clusters.affinities(own, bands=2, rows=1, strongest=60, block=4).collect()}
+    assert len(want) > 100 and got == want
+
+
 def test_splits_keep_groups_whole_and_balanced(spark):
     rng = random.Random(5)
     data = [(i, f"m{rng.randrange(300)}" if rng.random() < 0.9 else None, f"s{min(rng.randrange(400), rng.randrange(400))}" if rng.random() < 0.9 else None, 1) for i in range(1200)]
