@@ -173,7 +173,7 @@ def spectral_groups(edges: DataFrame, rounds: int = 6, kmeans_rounds: int = 2) -
 
 
 def similar_groups(vectors: DataFrame, least: float = 0.65, id_col: str = "vec_id") -> tuple[DataFrame, DataFrame]:
-    """(members, edges): members is (vec, set_id, cluster, copies) of all vectors with a non-empty set.
+    """(members, edges): members is (vec, set_id, cluster, copies, code) of all vectors with a non-empty set.
 
     cluster is the smallest id of the group. Equal sets are clustered once and share a cluster. Empty
     and missing sets belong to no group. ``edges`` are the affinities of the distinct sets.
@@ -183,14 +183,37 @@ def similar_groups(vectors: DataFrame, least: float = 0.65, id_col: str = "vec_i
     edges = cut(affinities(sets, least))
     groups = spectral_groups(edges)
     of = own.join(sets, "code").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
-    return of.select("vec", "set_id", "copies", F.coalesce("cluster", "set_id").alias("cluster")), edges
+    return of.select("vec", "set_id", "copies", F.coalesce("cluster", "set_id").alias("cluster"), "code"), edges
 
 
-def describe(members: DataFrame, edges: DataFrame, typical: int = 3) -> DataFrame:
-    """(cluster, size, typical): each group with its size and its members of highest affinity inside it, best first."""
-    label = members.select("set_id", "cluster", "copies").distinct()
-    ends = edges.select(F.col("a").alias("set_id"), F.col("b").alias("other"), "w").union(edges.select("b", "a", "w"))
-    inner = ends.join(label.select(F.col("set_id").alias("other"), F.col("copies").alias("n")), "other").groupBy("set_id").agg(F.sum(F.col("w") * F.col("n")).alias("affinity"))
+def _sums(least: float):
+    """Each set's affinities to the other block's sets (within one block: to all others), summed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in runs(batches, ["cluster", "lo", "hi"]):
+            ids, copies, block = g["set_id"].to_numpy(), g["copies"].to_numpy(), g["block"].to_numpy()
+            lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
+            bits, n = packed(*unpack([bytes(c) for c in g["code"]]))
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            sim = similarities(bits[left], n[left], bits[right], n[right])
+            sim[sim < least] = 0
+            if lo == hi:
+                np.fill_diagonal(sim, 0)
+            yield pd.DataFrame({"set_id": ids[left], "affinity": sim @ copies[right].astype(float)})
+            if lo != hi:
+                yield pd.DataFrame({"set_id": ids[right], "affinity": sim.T @ copies[left].astype(float)})
+
+    return run
+
+
+def describe(members: DataFrame, edges: DataFrame | None = None, typical: int = 3, least: float = 0.65, block: int = 1024) -> DataFrame:
+    """(cluster, size, typical): each group with its size and its members of highest affinity inside it, best first.
+
+    A member's affinity is the sum over all links of ``least`` or more to the vectors of its cluster,
+    each once, by pairs of blocks of the cluster's sets. ``edges`` are too thin for that and not read.
+    """
+    label = cut(members.select("set_id", "cluster", "copies", "code").dropDuplicates(["set_id"]))
+    inner = _block_pairs(label, "cluster", block).mapInPandas(_sums(least), "set_id bigint, affinity double").groupBy("set_id").agg(F.sum("affinity").alias("affinity"))
     scored = label.join(inner, "set_id", "left").withColumn("affinity", F.coalesce("affinity", F.lit(0.0)) + F.col("copies") - 1)
     place = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc(F.round("affinity", 9)), "set_id"))
     top = scored.withColumn("place", place).filter(F.col("place") <= typical).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "set_id"))), lambda x: x["set_id"]).alias("typical"))

@@ -167,6 +167,17 @@ def test_blocks_of_a_hot_band_all_meet(spark):
     assert len(want) > 100 and got == want
 
 
+def test_typical_members_have_the_highest_affinity_over_all_links(spark):
+    sets = sets_of(90, 6, core=2)
+    members, edges = clusters.similar_groups(vectors(spark, sets))
+    got = {r["vec"]: (r["cluster"], r["set_id"]) for r in members.collect()}
+    links = lambda i: sum(x for j in got if j != i and got[j][0] == got[i][0] and (x := tanimoto(sets[i], sets[j])) >= 0.65)
+    for block in (1024, 16):
+        for r in clusters.describe(members, edges, block=block).collect():
+            own = sorted({s for c, s in got.values() if c == r["cluster"]}, key=lambda i: (-round(links(i), 9), i))
+            assert list(r["typical"]) == own[:3]
+
+
 def test_splits_keep_groups_whole_and_balanced(spark):
     rng = random.Random(5)
     data = [(i, f"m{rng.randrange(300)}" if rng.random() < 0.9 else None, f"s{min(rng.randrange(400), rng.randrange(400))}" if rng.random() < 0.9 else None, 1) for i in range(1200)]
