@@ -65,13 +65,13 @@ def p4_split_gene(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    members, _ = clusters.similar_groups(table(spark, folder, "fingerprint"))
+    members = clusters.similar_groups(table(spark, folder, "fingerprint"))
     return members.filter("vec <> cluster").select(F.col("cluster").alias("first_vec_id"), F.col("vec").alias("vec_id"))
 
 
 def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    members, edges = clusters.similar_groups(table(spark, folder, "fingerprint"))
-    return clusters.describe(members, edges)
+    """Dense clusters, each with its size and most typical members."""
+    return clusters.describe(clusters.similar_groups(table(spark, folder, "fingerprint"), apart=True))
 
 
 def p8_pack_2048(spark: SparkSession, folder: str) -> DataFrame:

@@ -66,10 +66,10 @@ def test_clusters_equal_connected_groups(spark):
             if tanimoto(sets[i], sets[j]) >= 0.65:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    members, edges = clusters.similar_groups(vectors(spark, sets))
+    members = clusters.similar_groups(vectors(spark, sets))
     got = {r["vec"]: r["cluster"] for r in members.collect()}
     assert got == {i: find(i) for i in range(len(sets))}
-    d = {r["cluster"]: r for r in clusters.describe(members, edges).collect()}
+    d = {r["cluster"]: r for r in clusters.describe(members).collect()}
     assert sum(r["size"] for r in d.values()) == len(sets) and all(got[t] == c for c, r in d.items() for t in r["typical"])
     blocked = clusters.affinities(members.limit(0).select("set_id", F.lit(None).cast("binary").alias("code")))
     assert blocked.count() == 0
@@ -153,6 +153,63 @@ def test_source_quality_is_recovered(spark):
     assert right / len(truth) > 0.85
 
 
+def links_of(spark, pairs):
+    return spark.createDataFrame([(a, b, w) for a, b, w in pairs], "a long, b long, w double")
+
+
+def two_dense_groups_and_a_chain():
+    """Two groups of 12 that hang together by one link, and a chain of 60 nodes."""
+    dense = [(o + i, o + j, 0.9) for o in (0, 100) for i in range(12) for j in range(i + 1, 12)]
+    return [*dense, (11, 100, 0.65), *((200 + i, 201 + i, 0.7) for i in range(59))]
+
+
+def test_settled_vectors_decide_the_groups(spark):
+    edges = links_of(spark, two_dense_groups_and_a_chain())
+    got = {r["node"]: r["cluster"] for r in clusters.spectral_groups(edges).collect()}
+    assert got == {**dict.fromkeys([*range(12), *range(100, 112)], 0), **dict.fromkeys(range(200, 260), 200)}
+    # without the iteration nothing is told apart: with one point for all there is one group, with the start values none has two nodes
+    graph = clusters._graph(edges)
+    flat = clusters._start(graph).select("node", *[F.lit(0.5).alias(v) for v in clusters.VS])
+    assert {r["cluster"] for r in clusters.spectral_groups(edges, flat).collect()} == {0}
+    assert clusters.spectral_groups(edges, clusters._start(graph)).select("cluster").distinct().count() == 84
+    assert clusters.spectral_groups(edges.limit(0)).count() == 0
+
+
+def test_settled_vectors_are_the_weighted_means(spark):
+    graph = clusters._graph(links_of(spark, two_dense_groups_and_a_chain()))
+    degree = graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d"))
+    group = F.when(F.col("node") < 200, 0).otherwise(1).alias("g")
+    want = {r["g"]: r["m"] for r in clusters._start(graph).join(degree, "node").groupBy(group).agg((F.sum(F.col("d") * F.col("v0")) / F.sum("d")).alias("m")).collect()}
+    for r in clusters.settle(graph, 4).select(group, "v0").collect():
+        assert abs(r["v0"] - want[r["g"]]) < 1e-7
+
+
+def test_unsettled_vectors_part_bottlenecks_and_chains(spark):
+    got = {r["node"]: r["cluster"] for r in clusters.spectral_clusters(links_of(spark, two_dense_groups_and_a_chain())).collect()}
+    assert {got[i] for i in range(12)} == {0} and len({got[i] for i in range(100, 112)}) == 1 and got[0] != got[105]
+    assert len({got[i] for i in range(200, 260)}) >= 4
+
+
+def test_spanning_forest_is_maximal():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 40, 150), rng.integers(40, 80, 150)
+    w = rng.random(150)
+    keep = clusters.spanning(80, a, b, w)
+    root = list(range(80))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = set()
+    for i in np.argsort(-w):
+        if find(a[i]) != find(b[i]):
+            root[find(a[i])] = find(b[i])
+            want.add(int(i))
+    assert set(np.flatnonzero(keep).tolist()) == want
+
+
 def test_blocks_of_a_hot_band_all_meet(spark):
     import pandas as pd
 
@@ -160,8 +217,8 @@ def test_blocks_of_a_hot_band_all_meet(spark):
 
     sets = sets_of(60, 4, core=2)
     own = vectors(spark, sets).filter("vec_id < 60").select(F.col("vec_id").alias("set_id"), code(positions()).alias("code")).cache()
-    keys = pd.concat(clusters._signatures(2, 1)([own.toPandas()]))
-    by = [set(map(int, g["set_id"])) for _, g in keys.groupby("band")]
+    keys = pd.concat(clusters._signatures(2, 1)([own.toPandas()])).explode("bands")
+    by = [set(map(int, g["set_id"])) for _, g in keys.groupby("bands")]
     want = {(i, j) for g in by for i in g for j in g if i < j and tanimoto(sets[i], sets[j]) >= 0.65}
     got = {(r["a"], r["b"]) for r in clusters.affinities(own, bands=2, rows=1, strongest=60, block=4).collect()}
     assert len(want) > 100 and got == want
@@ -169,11 +226,11 @@ def test_blocks_of_a_hot_band_all_meet(spark):
 
 def test_typical_members_have_the_highest_affinity_over_all_links(spark):
     sets = sets_of(90, 6, core=2)
-    members, edges = clusters.similar_groups(vectors(spark, sets))
+    members = clusters.similar_groups(vectors(spark, sets))
     got = {r["vec"]: (r["cluster"], r["set_id"]) for r in members.collect()}
     links = lambda i: sum(x for j in got if j != i and got[j][0] == got[i][0] and (x := tanimoto(sets[i], sets[j])) >= 0.65)
     for block in (1024, 16):
-        for r in clusters.describe(members, edges, block=block).collect():
+        for r in clusters.describe(members, block=block).collect():
             own = sorted({s for c, s in got.values() if c == r["cluster"]}, key=lambda i: (-round(links(i), 9), i))
             assert list(r["typical"]) == own[:3]
 
