@@ -37,11 +37,69 @@ def unpack(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of 64-bit words, number of positions on)."""
+    """(rows of 64-bit words, number of positions on); the positions of a row are sorted and distinct.
+
+    Read as bytes, a row has its lowest position first (as numpy's packbits has it).
+    """
     n = np.diff(offsets)
-    dense = np.zeros((len(n), N_BITS), dtype=bool)
-    dense[np.repeat(np.arange(len(n)), n), flat] = True
-    return np.packbits(dense, axis=1).view(np.uint64), n
+    words = np.zeros(len(n) * (N_BITS // 64), dtype=np.uint64)
+    if len(flat):
+        at = np.repeat(np.arange(len(n), dtype=np.int64), n) * (N_BITS // 64) + (flat >> 6)
+        bit = np.uint64(1) << ((flat & 56) + 7 - (flat & 7)).astype(np.uint64)
+        first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        words[at[first]] = np.bitwise_or.reduceat(bit, first)
+    return words.reshape(len(n), N_BITS // 64), n
+
+
+def whole(batches: Iterator[pd.DataFrame], keys: list[str], least: int = 10_000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of ``least`` rows or more that hold whole runs of equal keys, each with the runs' bounds, out of batches sorted by the keys."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        size += len(pdf)
+        if size < least:
+            continue
+        rows = pd.concat(held) if len(held) > 1 else held[0]
+        k = rows[keys].to_numpy()
+        starts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+        if not len(starts):  # one run so far
+            held = [rows]
+            continue
+        yield rows.iloc[: starts[-1]], np.concatenate([[0], starts])
+        held, size = [rows.iloc[starts[-1] :]], len(rows) - int(starts[-1])
+    if held:
+        rows = pd.concat(held) if len(held) > 1 else held[0]
+        k = rows[keys].to_numpy()
+        yield rows, np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(rows)]])
+
+
+def pairs_within(bounds: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right), left < right: all pairs of rows of one run, in pieces of about ``most`` pairs."""
+    size = np.diff(bounds)
+    end = np.repeat(bounds[1:], size)
+    n = end - np.arange(bounds[0], bounds[-1]) - 1  # partners behind a row
+    total = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        own = n[at:to]
+        left = np.repeat(np.arange(at, to), own)
+        begin = np.cumsum(own) - own
+        yield left + bounds[0], left + 1 + np.arange(len(left)) - np.repeat(begin, own) + bounds[0]
+        at = to
+
+
+def pair_similarities(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, left: np.ndarray, right: np.ndarray, block: int = 65_536) -> np.ndarray:
+    """Tanimoto of the row pairs (left of a, right of b); no row may be empty."""
+    out = np.empty(len(left))
+    for i in range(0, len(left), block):
+        x, y = left[i : i + block], right[i : i + block]
+        both = np.bitwise_count(a[x] & b[y]).sum(1, dtype=np.int64)
+        out[i : i + block] = both / (na[x] + nb[y] - both)
+    return out
 
 
 def similarities(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, block: int = 256) -> np.ndarray:
