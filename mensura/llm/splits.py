@@ -80,38 +80,54 @@ def _combine(bins: int):
 
 
 def balanced_bins(weights: DataFrame, bins: int = 100, shard: int = 4000, fan_in: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(group_id -> slot, slot -> weight): groups in ``bins`` bins of nearly equal weight.
+    """(group_id -> stratum, slot; stratum, slot -> weight): groups in ``bins`` bins of nearly equal weight a stratum.
 
-    ``weights`` has group_id and weight. Groups are dealt to shards of about ``shard``; each shard is
-    differenced to one tuple of ``bins`` sums, and the tuples of ``fan_in`` shards are differenced again,
-    level by level, until one is left. No task ever sees more than a shard or fan_in tuples.
+    ``weights`` has group_id, weight and stratum (a small number). The groups of a stratum are dealt by
+    hash to shards of about ``shard``; each shard is differenced to one tuple of ``bins`` sums, and the
+    tuples of ``fan_in`` shards are differenced again, level by level, until one a stratum is left. No
+    task ever sees more than a shard or fan_in tuples.
     """
     out = "parent bigint, slot int, weight bigint, entry bigint, from_slot bigint"
-    count = weights.count()
-    shards = max(1, -(-count // shard))
-    # rank order spreads the heavy groups evenly over the shards
-    level = weights.select(F.pmod(F.xxhash64("group_id"), F.lit(shards)).alias("parent"), F.col("group_id").alias("entry"), F.lit(0).alias("slot"), "weight")
+    strata = 1 + (weights.agg(F.max("stratum")).first()[0] or 0)
+    shards = max(1, -(-weights.count() // shard))
+    at = lambda shard_no: shard_no * strata + F.col("stratum")
+    level = weights.select(at(F.pmod(F.xxhash64("group_id"), F.lit(shards))).alias("parent"), F.col("group_id").alias("entry"), F.lit(0).alias("slot"), "weight")
     done = cut(level.groupBy("parent").applyInPandas(_combine(bins), out))
     placed = done.filter("entry is not null").select(F.col("entry").alias("group_id"), F.col("parent").alias("at"), "slot")
     while shards > 1:
-        sums = done.select("parent", "slot", "weight").distinct()
+        sums = done.select("parent", "slot", "weight", F.pmod("parent", F.lit(strata)).alias("stratum")).distinct()
         shards = -(-shards // fan_in)
-        level = sums.select(F.pmod("parent", F.lit(shards)).alias("up"), F.col("parent").alias("entry"), "slot", "weight").withColumnRenamed("up", "parent")
+        level = sums.select(at(F.pmod(F.floor(F.col("parent") / strata), F.lit(shards))).alias("up"), F.col("parent").alias("entry"), "slot", "weight").withColumnRenamed("up", "parent")
         done = cut(level.groupBy("parent").applyInPandas(_combine(bins), out))
         moved = done.filter("entry is not null").select(F.col("entry").alias("at"), F.col("from_slot").cast("int").alias("slot"), F.col("parent").alias("up"), F.col("slot").alias("to"))
         placed = placed.join(moved, ["at", "slot"]).select("group_id", F.col("up").alias("at"), F.col("to").alias("slot"))
-    return placed.select("group_id", "slot"), done.select("slot", "weight").distinct()
+    return placed.select("group_id", F.col("at").cast("int").alias("stratum"), "slot"), done.select(F.col("parent").cast("int").alias("stratum"), "slot", "weight").distinct()
 
 
 def allot(bins: list[tuple[int, int]], proportions: dict[str, float]) -> dict[int, str]:
-    """Whole bins to splits: the heaviest bin always goes to the split that lacks most of its target."""
+    """Whole bins to splits by target proportion.
+
+    Heaviest first, a bin goes to the split that lacks the largest share of its own target among those
+    that still have room for it (so the small splits get of the heavy bins what they can hold); if none
+    has, to the one that lacks most. A split that would end up empty gets the lightest bin of the split
+    that has most to spare, if there are as many filled bins as splits.
+    """
     total = sum(w for _, w in bins) or 1
-    lack = {s: p * total for s, p in proportions.items()}
-    out = {}
+    target = {s: p * total for s, p in proportions.items()}
+    lack = dict(target)
+    out: dict[int, str] = {}
+    weight = dict(bins)
     for slot, w in sorted(bins, key=lambda x: (-x[1], x[0])):
-        s = max(lack, key=lambda k: (lack[k], k == "train"))
+        room = [s for s in lack if lack[s] >= w]
+        s = max(room, key=lambda k: (lack[k] / target[k], target[k])) if room else max(lack, key=lambda k: (lack[k], target[k]))
         out[slot] = s
         lack[s] -= w
+    filled = [slot for slot, w in bins if w]
+    for s in sorted(target, key=lambda k: target[k]):
+        if len(filled) >= len(target) and not any(out[x] == s for x in filled):
+            rich = [x for x in filled if sum(out[y] == out[x] for y in filled) > 1]
+            x = min(rich, key=lambda x: (weight[x], x))
+            out[x] = s
     return out
 
 
@@ -120,17 +136,22 @@ def assign_splits(records: DataFrame, keys: list[Column], id_col: str = "rec_id"
 
     Groups are the connected components over ``keys`` (see ``related_groups``); a record with no key at
     all is its own group. Component weights are balanced into ``bins`` bins by largest differencing and
-    whole bins are allotted to the splits; a group heavier than a bin makes its bin heavier, and a group
-    heavier than a split's share makes that split larger than asked, as it must. Empty tables give no rows.
+    whole bins are allotted to the splits. Records with a key and records without are balanced and
+    allotted apart, so that both stand in the asked proportions: few groups with a key are not crowded
+    out of the small splits by many single records. A group heavier than a bin makes its bin heavier,
+    and a group heavier than a split's share makes that split larger than asked, as it must. Empty
+    tables give no rows.
     """
     proportions = proportions or PROPORTIONS
-    groups = cut(related_groups(records, keys, id_col))
-    weights = cut(groups.groupBy("group_id").agg(F.count("*").alias("weight")))
+    named = records.select(F.col(id_col).alias("id"), F.coalesce(*[k.cast("string") for k in keys]).isNull().alias("alone")).filter("id is not null").groupBy("id").agg(F.min("alone").alias("alone"))
+    groups = cut(related_groups(records, keys, id_col).join(named, "id"))
+    weights = cut(groups.groupBy("group_id").agg(F.count("*").alias("weight"), F.when(F.min("alone"), 1).otherwise(0).alias("stratum")))
     slots, loads = balanced_bins(weights, bins)
-    to = allot([(r["slot"], r["weight"]) for r in loads.collect()], proportions)  # ``bins`` rows
-    side = F.create_map(*[F.lit(x) for slot, s in to.items() for x in (slot, s)]) if to else F.create_map().cast("map<int,string>")
-    named = weights.join(slots, "group_id").select("group_id", F.col("weight").alias("group_size"), side[F.col("slot")].alias("split"))
-    return groups.join(named, "group_id").select("id", "group_id", "group_size", "split")
+    rows = loads.collect()  # ``bins`` rows a stratum
+    to = {(t, slot): s for t in {r["stratum"] for r in rows} for slot, s in allot([(r["slot"], r["weight"]) for r in rows if r["stratum"] == t], proportions).items()}
+    side = F.create_map(*[F.lit(x) for (t, slot), s in to.items() for x in (t * bins + slot, s)]) if to else F.create_map().cast("map<int,string>")
+    placed = weights.drop("stratum").join(slots, "group_id").select("group_id", F.col("weight").alias("group_size"), side[F.col("stratum") * bins + F.col("slot")].alias("split"))
+    return groups.drop("alone").join(placed, "group_id").select("id", "group_id", "group_size", "split")
 
 
 def scaffold_key(c: str = "scaffold") -> Column:

@@ -255,13 +255,39 @@ def test_splits_keep_groups_whole_and_balanced(spark):
 
 
 def test_differencing_in_levels(spark):
-    w = spark.createDataFrame([(i, 1 + i % 7) for i in range(2000)], "group_id long, weight long")
+    w = spark.createDataFrame([(i, 1 + i % 7, 0) for i in range(2000)], "group_id long, weight long, stratum int")
     slots, loads = splits.balanced_bins(w, bins=10, shard=50, fan_in=4)
     sums = [r["w"] for r in slots.join(w, "group_id").groupBy("slot").agg(F.sum("weight").alias("w")).collect()]
     assert slots.count() == 2000 and len(sums) == 10 and max(sums) - min(sums) <= 3
     assert sorted(sums) == sorted(r["weight"] for r in loads.collect())
 
 
+def test_allotment_by_relative_lack():
+    parts = splits.PROPORTIONS
+    share = lambda bins: {s: sum(w for slot, w in bins if splits.allot(bins, parts)[slot] == s) / sum(w for _, w in bins) for s in parts}
+    even = share([(i, 10) for i in range(100)])
+    assert abs(even["train"] - 0.8) < 0.011 and abs(even["valid"] - 0.1) < 0.011
+    years = share([(i, w) for i, w in enumerate([300, 200, 150, 100, 90, 60, 50, 30, 10, 10])] + [(10 + i, 0) for i in range(90)])
+    assert abs(years["train"] - 0.8) < 0.05 and years["valid"] > 0.05 and years["test"] > 0.05
+    assert set(splits.allot([(0, 90), (1, 6), (2, 4)], parts).values()) == set(parts)  # three groups: one a split
+    assert splits.allot([(0, 5)], parts) == {0: "train"} and splits.allot([], parts) == {}
+
+
+def test_year_split_has_years_on_every_side(spark):
+    """Most records without a key, few and uneven keys: both kinds stand in the proportions asked for."""
+    data = [(i, 2000 + min(i % 23, i % 11)) for i in range(1500)] + [(1500 + i, None) for i in range(3000)]
+    out = splits.assign_splits(spark.createDataFrame(data, "rec_id long, year int"), [F.col("year")])
+    got = {r["id"]: r["split"] for r in out.collect()}
+    assert len(got) == out.count() == 4500
+    by_year = {}
+    for i, y in data[:1500]:
+        by_year.setdefault(y, set()).add(got[i])
+    assert all(len(v) == 1 for v in by_year.values())
+    for ids in (range(1500), range(1500, 4500)):
+        n = {s: sum(got[i] == s for i in ids) / len(ids) for s in splits.PROPORTIONS}
+        assert abs(n["train"] - 0.8) < 0.06 and n["valid"] > 0.04 and n["test"] > 0.04
+
+
 def general(item, text, least=12, one_in=6):
     """The definition: a stretch of L words with at most L / 6 edits, by edit distances from every start."""
     n, m = len(item), len(text)
