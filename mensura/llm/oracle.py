@@ -39,6 +39,8 @@ def oracle_sql() -> dict[str, str]:
             "select distinct t.split_name, t.rec_id from placed t join close on close.a = t.molecule join placed x on x.molecule = close.b and x.side = 'train' and x.split_name = t.split_name where t.side in ('valid', 'test')"),
         "p3_found": w(SIM, "select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from (select a, b from sim where a <> b and s >= 5e-1 qualify row_number() over (partition by a order by s desc, b) <= 5)"),
         "p4_found": components(RECORDS, f"select rec_id as id, 'm' || molecule as node from rec where molecule is not null union select rec_id, 's' || {present('scaffold')} from rec where {present('scaffold')} is not null", "first_rec_id", "rec_id"),
+        "p4_invariants": w(GROUPS, f"""select kind, (select count(distinct rec_id) from rec) as n_records, count(distinct key) as n_keys, 0::bigint as n_torn, true as in_valid, true as in_test from (
+            select 'molecule' as kind, molecule as key from rec union all select 'scaffold', {present('scaffold')} from rec union all select 'year', year::varchar from rec where year between 1970 and 2026 union all select 'gene', target from grouped) group by kind"""),
         "p6_found": f"""with recursive {SIM.strip()}, e as (select a, b from sim where a <> b and s >= 65e-2), reach(a, b) as (select a, b from e union select reach.a, e.b from reach join e on e.a = reach.b)
             select least(a, min(b)) as first_vec_id, a as vec_id from reach group by a having a <> least(a, min(b))""",
     }

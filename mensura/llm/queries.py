@@ -64,6 +64,23 @@ def p4_split_gene(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(records, [F.col("target")])
 
 
+def p4_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind of key: records, keys, keys that stand in two splits, and whether keyed records reach valid and test."""
+    t = table(spark, folder, "compound_target")
+    records = with_target(with_molecule(t.select("rec_id", "inchikey", "std_smiles", "scaffold", "year", "gene", "target_chembl_id")), table(spark, folder, "target_dictionary"))
+    keyed = {"molecule": (p4_split, F.col("molecule")), "scaffold": (p4_split, splits.scaffold_key()), "year": (p4_split_year, usable_year("year").cast("string")), "gene": (p4_split_gene, F.col("target"))}
+    out, assigned = None, {}
+    for name, (query, key) in keyed.items():
+        if query not in assigned:
+            assigned[query] = cut(query(spark, folder).select("id", "split"))
+        rows = records.select(F.col("rec_id").alias("id"), key.alias("key")).join(assigned[query], "id")
+        per_key = rows.filter("key is not null").groupBy("key").agg(F.countDistinct("split").alias("n"), F.max((F.col("split") == "valid").cast("int")).alias("v"), F.max((F.col("split") == "test").cast("int")).alias("t"))
+        figures = per_key.agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") > 1).alias("n_torn"), (F.max("v") == 1).alias("in_valid"), (F.max("t") == 1).alias("in_test"))
+        part = rows.agg(F.countDistinct("id").alias("n_records")).join(figures, F.lit(True)).withColumn("kind", F.lit(name))  # two rows of one
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     members = clusters.similar_groups(table(spark, folder, "fingerprint"))
     return members.filter("vec <> cluster").select(F.col("cluster").alias("first_vec_id"), F.col("vec").alias("vec_id"))
