@@ -115,6 +115,31 @@ def test_overlap_exact_near_both_sides_and_unknown(spark):
     assert overlap.overlapping_records(sm.limit(0), ct.limit(0), fp.limit(0)).count() == 0
 
 
+def test_shards_stay_bounded_when_all_share_a_core(spark):
+    """Sets with one core and keys with one first letter: small bounds split what they share, and nothing is lost."""
+    sets = [s for s in sets_of(90, 11, core=1, size=45) if len(s) > 8]
+    text = lambda s: overlap.BEGIN + "".join(chr(x + 256) for x in sorted(s)) + overlap.END
+    keys = [overlap.BEGIN + f"#{i}" + overlap.END for i in range(40)]
+    rng = random.Random(12)
+    data = {text(s): ([x for x in ("p", "q") if rng.random() < 0.5], [x for x in ("p", "q") if rng.random() < 0.6]) for s in sets}
+    data |= {k: (["p"] if i % 2 else [], ["p", "q"] if i % 3 else []) for i, k in enumerate(keys)}
+    df = spark.createDataFrame([(t, a, b) for t, (a, b) in data.items()], "text string, train array<string>, held array<string>")
+    want = set()
+    for t, (_, held) in data.items():
+        for u, (train, _) in data.items():
+            if t == u or (overlap.is_set(t) and overlap.is_set(u) and tanimoto(set(t[1:-1]), set(u[1:-1])) >= 0.9):
+                want |= {(t, x) for x in held if x in train}
+    assert len(want) > 60
+    for bounds in ({}, {"passages_per_shard": 5, "texts_per_task": 7}):
+        got = overlap.covered(df, **bounds)
+        assert {(r["text"], r["split_name"]) for r in got.collect()} == want
+        assert all(0 < r["coverage"] <= 1 and r["similarity"] >= 0.9 for r in got.collect())
+    rarity = np.ones(2048)
+    hot = {pair: 3 for t in data if overlap.is_set(t) for _, _, pair in overlap.routed_pieces(t, 0.9, rarity)}
+    units = overlap.own_units(hot, 4)
+    assert sorted(units.values()) == list(range(4, 4 + 3 * len(hot), 3)) and len({overlap.unit_of(p, str(i), hot, units, 4) for p in hot for i in range(60)}) == 3 * len(hot)
+
+
 CT = "rec_id long, inchikey string, gene string, endpoint string, std_smiles string, pchembl double, year int, target_chembl_id string, source string, sources string, updated_at timestamp, molecule string"
 
 
