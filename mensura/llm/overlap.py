@@ -192,8 +192,8 @@ class Shard:
                 met = met[np.argsort(-similarity[met], kind="stable")]
                 e, first = np.unique(entry[met], return_index=True)
                 self.open[e, j] = False  # this passage is settled for this split
-                parts.append(pd.DataFrame({"text": [self.texts[k] for k in self.holder[e]], "split_name": name, "similarity": similarity[met][first], "a": self.start[e].astype(np.int32), "b": self.end[e].astype(np.int32)}))
-        return pd.concat(parts)
+                parts += zip([self.texts[k] for k in self.holder[e]], [name] * len(e), similarity[met][first].tolist(), self.start[e].tolist(), self.end[e].tolist())
+        return pd.DataFrame(parts, columns=["text", "split_name", "similarity", "a", "b"])
 
 
 def _scan(shared, near: float):
