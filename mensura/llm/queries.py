@@ -121,7 +121,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.ratios(quality.text_counts(table(spark, folder, "documents")))
+    return quality.text_statistics(table(spark, folder, "documents"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -388,12 +388,12 @@ def test_packing(spark):
 
 TEXTS = {
     "prose": "The well is dry because the pump was not on.\nIt has been said that a man can walk to the sea in one day, if the road is good.",
-    "list": "\n".join(f"- {i}-methylthing" for i in range(12)), "table": "\n".join(f"| a{i} | {i}.5 | 2.{i} |" for i in range(9)), "junk": "\n".join(f"reg=0x{i:08x};" for i in range(9)),
+    "list": "\n".join(f"- {i}-methylthing" for i in range(12)), "table": "\n".join(["| 12 | +++ | ++ |"] * 9), "junk": "\n".join(f"reg=0x{i:08x};" for i in range(9)),
 }
 
 
 def kinds(df, **how):
-    return {r["doc_id"]: r for r in quality.ratios(quality.text_counts(df, **how)).collect()}
+    return {r["doc_id"]: r for r in quality.text_statistics(df, **how).collect()}
 
 
 def test_text_kinds_and_figures(spark):
@@ -413,3 +413,27 @@ def test_chunks_change_nothing(spark):
     whole = kinds(df)
     for chunk, fan_in in ((50, 3), (333, 16)):
         assert kinds(df, chunk=chunk, fan_in=fan_in) == whole
+
+
+def test_a_long_line_is_one_line_in_chunks_too(spark):
+    rng = random.Random(10)
+    line = " ".join(rng.choice(["the", "pump", "is", "in", "a", "well"]) for _ in range(45_000))
+    texts = [line, "z" * 200_001, "first\n" + line + "\nlast.", TEXTS["prose"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    script = quality.learn_script(df)
+    at = {n: quality.AT[n] for n in ("lines", "words", "word_chars", "ended_lines", "common_words", "repeated", "pairs")}
+    figures = lambda **how: {r["doc_id"]: [r["counts"][i] for i in at.values()] for r in quality.text_counts(df, script, **how).collect()}
+    whole = figures(chunk=10**7)
+    assert [whole[i][:2] for i in range(3)] == [[1, 45_000], [1, 1], [3, 45_002]] and len(line) > 188_000
+    assert figures() == whole == figures(chunk=1000, fan_in=4)
+
+
+def test_unreadable_letters_broken_encodings_and_tab_bullets(spark):
+    rng = random.Random(11)
+    prose = [" ".join(rng.choice("the method of claim one wherein compound solvent heated mixture filtered product yields acid".split()) for _ in range(60)) + "." for _ in range(40)]
+    scrambled = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  |.") for _ in range(400))
+    mojibake = "".join(rng.choice("\u00c3\u00a2\u00e2\u20ac\u00c2\u00b6\u00ef\u00bf \u00bd\u00b0") for _ in range(400))
+    bullets = "\n".join(f"\u25aa\t{i}-methylthiazole" for i in range(12))
+    df = spark.createDataFrame(list(enumerate([scrambled, mojibake, bullets, *prose])), "doc_id long, text string")
+    got = kinds(df)
+    assert [got[i]["text_kind"] for i in range(3)] == ["junk", "junk", "list"] and all(got[3 + i]["text_kind"] == "prose" for i in range(40))
