@@ -68,7 +68,7 @@ def line_kind(line: str, words: list[str], common: int, tight: str) -> str:
     symbols = size - solid
     if line[0] in "+|-= " and size >= 3 and RULER.match(line) and ("+" in line or "|" in line or "---" in line or "===" in line):
         return "table" if "-" in line or "=" in line else "junk"
-    if not solid or not letters and PAGE_NUMBER.match(line):
+    if not solid or not letters and line.count("|") < 2 and PAGE_NUMBER.match(line):
         return "junk"
     if not plain and len(ODD.findall(line)) * 5 > size * 2:
         return "junk"
