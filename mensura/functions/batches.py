@@ -92,7 +92,7 @@ def pairs_within(bounds: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np
         at = to
 
 
-def pair_similarities(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, left: np.ndarray, right: np.ndarray, block: int = 65_536) -> np.ndarray:
+def pair_similarities(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, left: np.ndarray, right: np.ndarray, block: int = 4096) -> np.ndarray:
     """Tanimoto of the row pairs (left of a, right of b); no row may be empty."""
     out = np.empty(len(left))
     for i in range(0, len(left), block):
@@ -102,6 +102,11 @@ def pair_similarities(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarr
     return out
 
 
+def dense(bits: np.ndarray) -> np.ndarray:
+    """Rows of words as rows of 0 and 1, for products of whole blocks."""
+    return np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1).astype(np.float32)
+
+
 def similarities(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, block: int = 256) -> np.ndarray:
     """Tanimoto of every row of a with every row of b (0 where the union is empty)."""
     out = np.zeros((len(a), len(b)))
