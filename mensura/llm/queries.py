@@ -116,8 +116,9 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that hold no held-out passage, with their text."""
     docs = table(spark, folder, "documents")
-    return leakage.without_leaks(docs.select("doc_id", "lang", "source"), cut(_leaks(spark, folder)))
+    return leakage.without_leaks(docs.select("doc_id", "text", "lang", "source"), cut(_leaks(spark, folder).select("doc_id")))
 
 
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:

@@ -357,11 +357,39 @@ def test_leaked_passages(spark):
     truth = {(i, 7) for i, t in docs if i and t and i != 8 and general(re.sub(r"[^\w\s]", "", re.sub(r"-\s*\n\s*", "", item.lower())).split(), re.sub(r"[^\w\s]", "", re.sub(r"-\s*\n\s*", "", t.lower())).split())} | {(8, 7)}
     got = leakage.leaked_passages(d, e)
     assert set(rows(got, "doc_id", "item_id")) == truth and {1, 2, 5, 8} <= {i for i, _ in truth} and (3, 7) not in truth
-    assert set(rows(leakage.leaked_passages(d, e, block_items=1), "doc_id", "item_id")) == truth
+    assert set(rows(leakage.leaked_passages(d, e, block_chars=150), "doc_id", "item_id")) == truth
     assert set(r["doc_id"] for r in leakage.without_leaks(d.filter("doc_id is not null"), got).collect()) == {i for i, _ in docs if i} - {i for i, _ in truth}
     assert leakage.leaked_passages(d, e.limit(0)).count() == 0 and leakage.leaked_passages(d.limit(0), e).count() == 0
 
 
+def test_suffix_array_is_sorted_to_full_depth_and_matches_are_maximal():
+    rng = random.Random(13)
+    items = leakage.prepare([(i, " ".join(f"w{rng.randrange(6)}" for _ in range(rng.randint(4, 25)))) for i in range(8)])
+    text = np.array([rng.randrange(len(items.vocabulary) + 1) for _ in range(600)] + items.words[0].tolist() * 3 + [0], dtype=np.int32)
+    wanted = np.unique(items.keys)
+    depth = max(map(len, items.words))
+    places = leakage.suffix_array(text, wanted, depth)
+    upto = lambda p: [int(x) for x in text[p : p + depth]]
+    stop = lambda w: tuple(w[: w.index(0)]) if 0 in w else tuple(w)
+    grams = {tuple(w[i : i + 4]) for w in (x.tolist() for x in items.words) for i in range(len(w) - 3)}
+    assert sorted(places.tolist()) == [p for p in range(len(text) - 3) if tuple(text[p : p + 4].tolist()) in grams]
+    groups = {}
+    for p in places.tolist():
+        groups.setdefault(tuple(text[p : p + 4].tolist()), []).append(stop(upto(p)))
+    assert all(g == sorted(g) for g in groups.values())
+    want = set()
+    for q, w in enumerate(items.words):
+        for i in range(len(w)):
+            for p in range(len(text)):
+                if text[p] == w[i] and (i == 0 or p == 0 or text[p - 1] != w[i - 1]):
+                    n = 0
+                    while i + n < len(w) and p + n < len(text) and text[p + n] == w[i + n]:
+                        n += 1
+                    if n >= 4:
+                        want.add((q, i, p, n))
+    assert set(zip(*(x.tolist() for x in leakage.matches(items, text)))) == want and len(want) > 20
+
+
 @pytest.mark.skipif(not os.path.exists(packing.TOKENIZER), reason="needs a vocabulary")
 def test_packing(spark):
     rng = random.Random(7)
