@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from mensura.functions.keys import usable_year
+from mensura.operators import schema_drift
 from mensura.operators.fill_missing import fill_from_clusters
 from mensura.operators.schema_drift import correspondences, schema_changes, unified
 
@@ -87,3 +88,33 @@ def test_queries_against_sql(spark, name):
     want = db.sql(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]})").fetchall()
     norm = lambda t: tuple("~" if x is None or x != x else str(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in t)
     assert sorted(norm(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(map(norm, want))
+
+
+def column(name, form="text", values=(), members=()):
+    return {"name": name, "header": name, "pos": 0, "form": form, "n": len(values), "len": 5.0, "sketch": list(values), "members": list(members)}
+
+
+def test_flooding_decides_the_correspondences():
+    a = [column("smiles", "text", range(40)), column("pchembl value", "point", range(100, 140)), column("document year", "whole", range(200, 220)), column("batch code", "text", range(300, 310))]
+    b = [column("structure", "json", range(5, 45), ["smi", "v"]), column("paffinity", "point", range(110, 150)), column("document year", "date", range(200, 220)), column("activity comment", "text", range(400, 410))]
+    assert sorted(schema_drift.correspondences(a, b)) == [(0, 0), (1, 1), (2, 2)]
+    assert schema_drift.correspondences(a, b, rounds=0) == []  # without propagation no pair of columns has any score, equal names neither
+    once, settled = schema_drift.flood(a, b, rounds=1), schema_drift.flood(a, b)
+    assert settled.shape == (4, 4) and settled[2, 2] == 1.0 and (once != settled).any()
+    # no values in common: names, types, order and members still find an object's member that is called like the column
+    plain, nested = [column("smiles"), column("assay id")], [column("payload", "json", members=["smiles"]), column("assay id")]
+    assert schema_drift.correspondences(plain, nested) and (0, 0) in schema_drift.correspondences(plain, nested)
+    assert schema_drift.correspondences([], b) == [] and schema_drift.correspondences(a, []) == []
+
+
+def test_casts_are_learnt_from_the_other_files(spark):
+    head = "Smiles;pChEMBL Value;Assay ChEMBL ID;Document Year"
+    files = spark.createDataFrame([(i, 1, "AA", f"f{i}", i) for i in range(3)], "file_id long, series_id long, gene string, file_name string, exported_at int")
+    rows = [(0, 1, head)] + [(0, 2 + i, f"C{'C' * i}O;{5 + i / 10};XY{i + 1:04d};{2001 + i}") for i in range(12)]
+    rows += [(1, 1, "Smiles;pChEMBL Value;Assay ChEMBL ID;Document Year")] + [(1, 2 + i, '"{""a"": ""x%d"", ""mol"": ""C%sO""}";%d;%d;%d' % (i, "C" * i, 5000 + 100 * i, i + 1, 2001 + i)) for i in range(12)]
+    lines = spark.createDataFrame(rows, "file_id long, line_no long, line_text string")
+    table = schema_drift.unified(files, lines, schema_drift.schema_changes(files, lines))
+    got = {(r["file_id"], r["line_no"]): r for r in table.collect()}
+    for i in range(12):
+        a, b = got[0, 2 + i], got[1, 2 + i]
+        assert (a["smiles"], a["pchembl"], a["assay_id"], a["year"]) == (b["smiles"], b["pchembl"], b["assay_id"], b["year"]) == (f"C{'C' * i}O", 5 + i / 10, f"XY{i + 1:04d}", 2001 + i)
