@@ -87,8 +87,37 @@ def fitness(bins: list[Bin], capacity: int) -> float:
     return sum((b[0] / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def improve(sizes: list[int], bins: list[Bin], loose: list[int], capacity: int) -> tuple[list[Bin], list[int]]:
+    """Swap one or two items of a bin for one or two loose ones that fill it better (Falkenauer's replacement), each bin once."""
+    free = sorted(loose, key=lambda x: sizes[x])
+    out = []
+    for load, held in bins:
+        room, best = capacity - load, None
+        if room and free:
+            tokens = [sizes[x] for x in free]
+            gone = [(x,) for x in held] + [(held[i], held[j]) for i in range(len(held)) for j in range(i)][:64]
+            for away in gone:
+                was = sum(sizes[x] for x in away)
+                k = bisect.bisect_right(tokens, was + room) - 1
+                if k >= 0 and tokens[k] > was and (best is None or tokens[k] - was > best[0]):
+                    best = (tokens[k] - was, away, (k,))
+                for i in range(len(tokens) if len(away) == 2 else 0):
+                    k = bisect.bisect_right(tokens, was + room - tokens[i], 0, i) - 1
+                    if k >= 0 and tokens[i] + tokens[k] > was and (best is None or tokens[i] + tokens[k] - was > best[0]):
+                        best = (tokens[i] + tokens[k] - was, away, (k, i))
+                if best and best[0] == room:
+                    break
+        if best:
+            more, away, taken = best
+            held = tuple(x for x in held if x not in away) + tuple(free[k] for k in taken)
+            free = sorted([x for k, x in enumerate(free) if k not in taken] + list(away), key=lambda x: sizes[x])
+            load += more
+        out.append((load, held))
+    return out, free
+
+
 def cross(a: list[Bin], b: list[Bin], sizes: list[int], capacity: int, share: float, rng: random.Random) -> list[Bin]:
-    """Inject some of b's fullest bins whole into a, drop a's bins that share items with them, and best-fit what that displaces."""
+    """Inject some of b's fullest bins whole into a, drop a's bins that share items with them, and best-fit what that displaces, after swaps that fill bins better."""
     ranked = sorted(b, key=lambda x: -x[0])
     top = ranked[: max(1, int(len(ranked) * share * 2))]
     taken = rng.sample(top, max(1, len(top) // 2))
@@ -99,33 +128,50 @@ def cross(a: list[Bin], b: list[Bin], sizes: list[int], capacity: int, share: fl
             kept.append(one)
         else:
             displaced += [x for x in one[1] if x not in inside]
-    # the emptiest bins are opened again as well
+    # the emptiest bins are opened again as well, and a few others (the mutation)
     kept.sort(key=lambda x: -x[0])
-    loose = max(1, len(kept) // 50)
+    loose = min(len(kept), max(1, len(kept) // 20))
     for one in kept[-loose:]:
         displaced += one[1]
-    displaced.sort(key=lambda x: (-sizes[x], x))
-    return best_fit(sizes, displaced, kept[:-loose], capacity)
+    kept = kept[:-loose]
+    for _ in range(min(2, len(kept))):
+        displaced += kept.pop(rng.randrange(len(kept)))[1]
+    kept, displaced = improve(sizes, kept, displaced, capacity)
+    return best_fit(sizes, sorted(displaced, key=lambda x: (-sizes[x], x)), kept, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, elites: list[list[Bin]], population: int, generations: int, seed: int) -> list[Bin]:
-    """One island's epoch: its best solution after some generations, starting from the elites that came in."""
+def evolve(sizes: list[int], capacity: int, elites: list[list[Bin]], population: int, generations: int, seed: int, patience: int = 40, full: float = 0.999) -> list[Bin]:
+    """One island's epoch: its best solution after some generations, starting from the elites that came in.
+
+    Bins that the best start fills to ``full`` or more are kept whole, but for one in twenty that is
+    opened by chance; the population packs the other items. It ends when no packing can have fewer bins
+    or after ``patience`` generations without a better best.
+    """
     rng = random.Random(seed)
     order = sorted(range(len(sizes)), key=lambda x: (-sizes[x], x))
-    people = [list(e) for e in elites]
+    starts = sorted((list(e) for e in elites), key=lambda e: -fitness(e, capacity)) or [best_fit(sizes, order, [], capacity)]
+    kept = [one for one in starts[0] if one[0] >= full * capacity and rng.random() >= 0.05]
+    set_aside = {x for one in kept for x in one[1]}
+    rest = [x for x in order if x not in set_aside]
+    people = []
+    for start in starts:
+        own = [one for one in start if set_aside.isdisjoint(one[1])]
+        inside = {x for one in own for x in one[1]}
+        people.append(best_fit(sizes, [x for x in rest if x not in inside], own, capacity))
     while len(people) < population:
-        noisy = order if not people else sorted(order, key=lambda x: -sizes[x] * rng.uniform(0.6, 1.0))
-        people.append(best_fit(sizes, noisy, [], capacity))
+        people.append(best_fit(sizes, sorted(rest, key=lambda x: -sizes[x] * rng.uniform(0.6, 1.0)), [], capacity))
     people.sort(key=lambda p: -fitness(p, capacity))
-    for _ in range(generations):
-        i, j = sorted(rng.sample(range(len(people)), 2))
+    fewest, idle = -(-sum(sizes[x] for x in rest) // capacity), 0
+    for _ in range(generations if rest else 0):
+        if len(people[0]) <= fewest or idle >= patience:
+            break
+        i, j = rng.sample(range(len(people)), 2)
         child = cross(people[i], people[j], sizes, capacity, 0.3, rng)
-        if fitness(child, capacity) > fitness(people[-1], capacity):
+        idle = 0 if fitness(child, capacity) > fitness(people[0], capacity) else idle + 1
+        if fitness(child, capacity) > fitness(people[-1], capacity) and child not in people:
             people[-1] = child
             people.sort(key=lambda p: -fitness(p, capacity))
-        if sum(sizes) > capacity * (len(people[0]) - 1) and len(people[0]) * capacity - sum(sizes) < capacity:
-            break  # no solution has fewer bins
-    return people[0]
+    return kept + people[0]
 
 
 def _epoch(capacity: int, population: int, generations: int, epoch: int):
@@ -148,7 +194,7 @@ def _epoch(capacity: int, population: int, generations: int, epoch: int):
     return run
 
 
-def pack_items(items: DataFrame, capacity: int, shard: int = 4000, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 8) -> DataFrame:
+def pack_items(items: DataFrame, capacity: int, shard: int = 4000, islands: int = 3, epochs: int = 2, population: int = 12, generations: int = 400) -> DataFrame:
     """(item, size, shard, bin): items of at most ``capacity`` in bins.
 
     Items are dealt to shards of about ``shard`` by hash. Every shard is worked on by ``islands``

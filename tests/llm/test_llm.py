@@ -414,6 +414,28 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0), 128).count() == 0
 
 
+def test_genetic_packing_beats_best_fit_on_hard_sizes():
+    """Triplets that fill a bin exactly, and sizes between a fifth and two thirds of the capacity."""
+    rng = random.Random(20)
+    gained = 0
+    for n in (20, 30, 40):
+        sizes = []
+        for _ in range(n):
+            a = rng.randint(380, 490)
+            b = rng.randint((1000 - a) // 2 - 60, (1000 - a) // 2)
+            sizes += [a, b, 1000 - a - b]
+        order = sorted(range(len(sizes)), key=lambda x: -sizes[x])
+        plain = packing.best_fit(sizes, order, [], 1000)
+        grown = packing.evolve(sizes, 1000, [], 16, 600, seed=n, patience=300)
+        assert sorted(x for one in grown for x in one[1]) == sorted(order) and all(one[0] == sum(sizes[x] for x in one[1]) <= 1000 for one in grown)
+        assert len(grown) <= len(plain)
+        gained += len(plain) - len(grown)
+    assert gained >= 3
+    sizes = [rng.randint(200, 660) for _ in range(150)]
+    plain = packing.best_fit(sizes, sorted(range(150), key=lambda x: -sizes[x]), [], 1000)
+    assert len(packing.evolve(sizes, 1000, [plain], 12, 400, seed=1)) <= len(plain)
+
+
 TEXTS = {
     "prose": "The well is dry because the pump was not on.\nIt has been said that a man can walk to the sea in one day, if the road is good.",
     "list": "\n".join(f"- {i}-methylthing" for i in range(12)), "table": "\n".join(["| 12 | +++ | ++ |"] * 9), "junk": "\n".join(f"reg=0x{i:08x};" for i in range(9)),
