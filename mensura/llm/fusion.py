@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.functions.keys import compact, finite, present, trimmed, usable_year, with_molecule, with_target
+from mensura.functions.keys import compact, finite, molecule_key, present, trimmed, usable_year, with_molecule, with_target
 from mensura.session import cut
 
 #: Fields that a record states once.
@@ -27,13 +27,13 @@ def source_quality(facts: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFr
     """Expectation-maximisation over facts: (posterior per pattern, quality per field and source).
 
     ``facts`` has field and pattern, an array of (source, claimed) over the sources that say anything
-    about the fact's group and field. A fact is true or not; a source claims a true one with its
-    sensitivity and a false one with one minus its specificity. Facts of one pattern share their
-    posterior, so the facts are folded to pattern counts once and all rounds run on those.
+    about the fact's group and field. A fact is true or not, with the field's prevalence; a source claims a
+    true one with its sensitivity and a false one with one minus its specificity. All three are estimated
+    in every round. Facts of one pattern share their posterior, so the facts are folded to pattern counts
+    once and all rounds run on those.
     """
     patterns = cut(facts.groupBy("field", "pattern").agg(F.count("*").cast("double").alias("n")).withColumn("pid", F.xxhash64("field", F.to_json("pattern"))))
     votes = patterns.select("pid", "field", "n", F.inline("pattern"))
-    prior = F.lit(0.0)  # log odds of a fact before anyone is heard
     # a vote's first posterior: the share of the heard sources that claim the fact
     post = patterns.select("pid", "field", "n", "pattern", F.expr("(aggregate(pattern, 0D, (a, x) -> a + x.claimed) + 0.5) / (size(pattern) + 1)").alias("p"))
     quality = None
@@ -45,13 +45,46 @@ def source_quality(facts: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFr
             ((F.sum(w * (1 - t) * (1 - F.col("claimed"))) + 8) / (F.sum(w * (1 - t)) + 10)).alias("specificity"),
         )
         odds = F.when(F.col("claimed") == 1, F.log(F.col("sensitivity") / (1 - F.col("specificity")))).otherwise(F.log((1 - F.col("sensitivity")) / F.col("specificity")))
-        belief = votes.join(quality, ["field", "source"]).groupBy("pid").agg((1 / (1 + F.exp(-(F.sum(odds) + prior)))).alias("p"))
+        share = (F.sum(w * t) + 1) / (F.sum(w) + 2)  # of true facts
+        prior = post.select("field", "n", "p").groupBy("field").agg(F.log(share / (1 - share)).alias("prior"))
+        heard = votes.join(quality, ["field", "source"]).groupBy("pid", "field").agg(F.sum(odds).alias("heard"))
+        belief = heard.join(prior, "field").select("pid", (1 / (1 + F.exp(-(F.col("heard") + F.col("prior"))))).alias("p"))
         post = patterns.join(belief, "pid").select("pid", "field", "n", "pattern", "p")
         if r % 3 == 2 or r == rounds - 1:
             post = cut(post)
     return post.select("pid", "p"), quality
 
 
+def patterned(said: DataFrame) -> DataFrame:
+    """Facts (group_id, field, value, n, at, pattern, pid) of what ``said`` (group_id, field, value, source, n, at) states, with the claims of all sources that are heard on the group and field."""
+    facts = said.groupBy("group_id", "field", "value").agg(F.collect_set("source").alias("claiming"), F.sum("n").alias("n"), F.max("at").alias("at"))
+    heard = said.groupBy("group_id", "field").agg(F.collect_set("source").alias("heard"))  # bounded by the number of sources
+    pattern = F.transform(F.sort_array("heard"), lambda s: F.struct(s.alias("source"), F.array_contains("claiming", s).cast("int").alias("claimed")))
+    facts = facts.join(heard, ["group_id", "field"]).withColumn("pattern", pattern).withColumn("pid", F.xxhash64("field", F.to_json("pattern")))
+    return cut(facts.select("group_id", "field", "value", "n", "at", "pattern", "pid"))
+
+
+def named_molecules(records: DataFrame, rounds: int = 8) -> DataFrame:
+    """``records`` with ``molecule``; where records without a key have a text for which others state several keys, the model judges which one is true.
+
+    A text that states one key takes it. Of several, each is a fact of that text, claimed by the sources
+    that state it: the highest posterior wins, then the key that more records state, then the smallest.
+    """
+    keyed = records.withColumn("__key", molecule_key("inchikey")).withColumn("__text", present("std_smiles"))
+    lost = keyed.filter("__key is null and __text is not null").select("__text").distinct()
+    stated = keyed.filter("__key is not null").join(lost, "__text", "left_semi").groupBy("__text", "__key", F.coalesce(F.lower(present("source")), F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
+    several = cut(stated.groupBy("__text").agg(F.countDistinct("__key").alias("k")).filter("k > 1").select("__text"))
+    plain = with_molecule(records)
+    if several.isEmpty():
+        return plain
+    said = stated.join(several, "__text").select(F.col("__text").alias("group_id"), F.lit("inchikey").alias("field"), F.col("__key").alias("value"), "source", "n", F.lit(None).cast("timestamp").alias("at"))
+    facts = patterned(said)
+    post, _ = source_quality(facts, rounds)
+    judged = facts.join(post, "pid").groupBy(F.col("group_id").alias("__text")).agg(F.min_by("value", F.struct((-F.round("p", 9)).alias("p"), (-F.col("n")).alias("n"), "value")).alias("__best"))
+    bare = plain.withColumn("__text", F.when(molecule_key("inchikey").isNull(), present("std_smiles")))
+    return bare.join(judged, "__text", "left").withColumn("molecule", F.coalesce("__best", "molecule")).drop("__text", "__best")
+
+
 def fuse_records(records: DataFrame, targets: DataFrame, rounds: int = 8) -> Fusion:
     """Fuse the records that report the same molecule, target and endpoint.
 
@@ -65,7 +98,7 @@ def fuse_records(records: DataFrame, targets: DataFrame, rounds: int = 8) -> Fus
     never gathered.
     """
     own = records.select("rec_id", "inchikey", "gene", "endpoint", "std_smiles", "pchembl", "year", "target_chembl_id", "source", "sources", "updated_at")
-    clean = with_target(with_molecule(own.filter("rec_id is not null").dropDuplicates(["rec_id"])), targets).withColumn("endpoint_key", compact("endpoint"))
+    clean = with_target(named_molecules(own.filter("rec_id is not null").dropDuplicates(["rec_id"]), rounds), targets).withColumn("endpoint_key", compact("endpoint"))
     clean = clean.filter("molecule is not null and target is not null and endpoint_key is not null")
     clean = clean.select(
         "rec_id", "molecule", "target", "endpoint_key",
@@ -86,12 +119,7 @@ def fuse_records(records: DataFrame, targets: DataFrame, rounds: int = 8) -> Fus
         .filter("value is not null and value <> ''")
         .groupBy("group_id", "field", "value", "source").agg(F.count("*").alias("n"), F.max("at").alias("at"))
     )
-    facts = said.groupBy("group_id", "field", "value").agg(F.collect_set("source").alias("claiming"), F.sum("n").alias("n"), F.max("at").alias("at"))
-    heard = said.groupBy("group_id", "field").agg(F.collect_set("source").alias("heard"))  # bounded by the number of sources
-    facts = facts.join(heard, ["group_id", "field"]).withColumn(
-        "pattern", F.transform(F.sort_array("heard"), lambda s: F.struct(s.alias("source"), F.array_contains("claiming", s).cast("int").alias("claimed")))
-    ).withColumn("pid", F.xxhash64("field", F.to_json("pattern")))
-    facts = cut(facts.select("group_id", "field", "value", "n", "at", "pattern", "pid"))
+    facts = patterned(said)
     post, quality = source_quality(facts, rounds)
     judged = facts.join(post, "pid").select("group_id", "field", "value", "n", "p", "at")
     rank = F.struct("p", "n", "at", "value")
@@ -110,8 +138,14 @@ def fuse_records(records: DataFrame, targets: DataFrame, rounds: int = 8) -> Fus
     return Fusion(members, survivors, quality)
 
 
-def duplicate_pairs(members: DataFrame) -> DataFrame:
-    """Each pair of records of one group, smaller rec_id first (a fixed result form; groups are joined by key)."""
-    a = members.select("group_id", F.col("rec_id").alias("rec_id_a"))
-    b = members.select("group_id", F.col("rec_id").alias("rec_id_b"))
-    return a.join(b, "group_id").filter("rec_id_a < rec_id_b").select("rec_id_a", "rec_id_b")
+def duplicate_pairs(members: DataFrame, salts: int = 16, hot: int = 1000) -> DataFrame:
+    """Each pair of records of one group, smaller rec_id first (a fixed result form).
+
+    The groups are joined by key; the records of a group of more than ``hot`` are dealt over ``salts`` parts
+    on one side and copied to all of them on the other, so that no task holds all pairs of a large group.
+    """
+    big = members.groupBy("group_id").agg(F.count("*").alias("size")).filter(F.col("size") > hot).select("group_id", F.lit(salts).alias("parts"))
+    placed = cut(members.select("group_id", "rec_id").join(big, "group_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
+    a = placed.select("group_id", F.pmod(F.xxhash64("rec_id"), F.col("parts")).cast("int").alias("part"), F.col("rec_id").alias("rec_id_a"))
+    b = placed.select("group_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rec_id").alias("rec_id_b"))
+    return a.join(b, ["group_id", "part"]).filter("rec_id_a < rec_id_b").select("rec_id_a", "rec_id_b")

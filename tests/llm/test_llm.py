@@ -235,6 +235,42 @@ def test_spanning_forest_is_maximal():
     assert set(np.flatnonzero(keep).tolist()) == want
 
 
+def test_model_beats_the_majority_on_masked_truth(spark):
+    """One careful source against two that err a third of the time, by the same value: counting votes goes with the two, the model with the one."""
+    rng = random.Random(21)
+    right = {"careful": 0.97, "hasty": 0.65, "rash": 0.65}
+    data, truth = [], {}
+    for g in range(900):
+        truth[3 * g] = 2000 + g % 20
+        for n, (source, p) in enumerate(right.items()):
+            data.append(record(3 * g + n, key=f"K{g}", source=source, sources=source, year=truth[3 * g] + (0 if rng.random() < p else 1)))
+    td = spark.createDataFrame([("T1", "AA", ["a-a"])], "chembl_id string, gene string, synonyms array<string>")
+    f = fusion.fuse_records(spark.createDataFrame(data, CT), td)
+    fused = sum(r["year"] == truth[r["group_id"]] for r in f.survivors.collect()) / 900
+    votes = {}
+    for r in data:
+        votes.setdefault(r[0] // 3 * 3, []).append(r[6])
+    majority = sum(max(sorted(set(v)), key=v.count) == truth[g] for g, v in votes.items()) / 900
+    assert fused > 0.94 and fused > majority + 0.05
+    q = {r["source"]: r for r in f.quality.filter("field = 'year'").collect()}
+    assert q["careful"]["sensitivity"] > q["hasty"]["sensitivity"]
+
+
+def test_model_decides_which_molecule_a_text_names(spark):
+    """Records without a key, whose text two keys claim: the pairs follow the source that is right elsewhere, not the number of records."""
+    td = spark.createDataFrame([("T1", "AA", ["a-a"])], "chembl_id string, gene string, synonyms array<string>")
+    data = []
+    for g in range(60):  # two careful sources agree, a careless one states another key, more often
+        base = 10 * g
+        data += [record(base, key=f"R{g}", smiles=f"S{g}", source="a"), record(base + 1, key=f"R{g}", smiles=f"S{g}", source="b")]
+        data += [record(base + 2 + i, key=f"W{g}", smiles=f"S{g}", source="c") for i in range(3)]
+        data.append(record(base + 6, key=None, smiles=f"S{g}", source="d"))
+    pairs = set(rows(fusion.duplicate_pairs(fusion.fuse_records(spark.createDataFrame(data, CT), td).members)))
+    assert all((10 * g, 10 * g + 6) in pairs and (10 * g + 2, 10 * g + 6) not in pairs for g in range(60))
+    hot = spark.createDataFrame([(7, i) for i in range(40)], "group_id long, rec_id long")
+    assert rows(fusion.duplicate_pairs(hot, salts=3, hot=10)) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+
+
 def test_blocks_of_a_hot_band_all_meet(spark):
     import pandas as pd
 
