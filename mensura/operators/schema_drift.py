@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -113,6 +114,7 @@ def _words(name: str) -> set[str]:
     return {w for w in "".join(x if x.isalnum() else " " for x in name.lower()).split() if w}
 
 
+@lru_cache(maxsize=65_536)
 def _name_similarity(a: str, b: str) -> float:
     """Mean of shared words and shared letter triples (Jaccard)."""
     wa, wb = _words(a), _words(b)
