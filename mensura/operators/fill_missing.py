@@ -85,30 +85,73 @@ def fit_prototypes(df: DataFrame, numeric: list[str], categorical: list[str], k:
     return p
 
 
-def fill_from_clusters(df: DataFrame, field: Column, entity: Column, numeric: dict[str, Column], categorical: dict[str, Column], id_col: str, k: int = 16, out: str = "filled", method: str = "fill_method") -> DataFrame:
+def fill_from_clusters(
+    df: DataFrame, field: Column, entity: Column, numeric: dict[str, Column], categorical: dict[str, Column], k: int = 16, out: str = "filled", method: str = "fill_method", kind: str = "number", hot: int = 100_000, levels: tuple[str, ...] = ("entity", "cluster", "table")
+) -> DataFrame:
     """All rows of ``df`` plus ``out`` (the field, observed or filled) and ``method`` saying where it came from.
 
-    ``field`` is the usable value or null (an integer field), ``entity`` the key of the finest group.
-    Levels, each the fallback of the one before: ``entity`` - the value most rows of the same entity
-    state (of equally frequent ones the smallest); ``cluster`` - the median of the row's K-prototypes
-    cluster; ``table`` - the median of all rows. ``observed`` marks values that were there, ``none``
-    rows for which no level knows a value. Null entities never match each other. Counts are folded per
-    (entity, value) before any shuffle, so an entity with a third of all rows moves as a few rows.
-    Ids must be unique; a column that is called like ``out`` or ``method`` is replaced. An empty table gives no rows.
+    ``field`` is the usable value or null, a number or (``kind`` "category") a text; ``entity`` the key of
+    the finest group. Levels, each the fallback of the one before: ``entity`` - the value most rows of the
+    same entity state (of equally frequent ones the smallest); ``cluster`` - the median, of a category the
+    mode, of the row's K-prototypes cluster; ``table`` - the same of all rows. ``observed`` marks values that
+    were there, ``none`` rows for which no level knows a value. Null entities never match each other.
+    ``levels`` leaves some out. Rows are carried along, not joined again, so ids need not be unique and
+    repeated rows are filled alike; a column that is called like ``out`` or ``method`` is replaced. An empty
+    table gives no rows.
+
+    Counts are folded per (entity, value) before any shuffle. Of the rows to fill only those whose entity
+    states a value are shuffled to it; entities with more than ``hot`` such rows, of which there is at most
+    one a ``hot`` rows, and the ``k`` clusters are sent to the rows instead.
     """
     df = df.drop(out, method)
-    rows = df.select(F.col(id_col).alias("__id"), field.alias("_v"), entity.alias("_e"), *[c.cast("double").alias(f"_n_{n}") for n, c in numeric.items()], *[c.cast("string").alias(f"_k_{n}") for n, c in categorical.items()])
+    features = [*[c.cast("double").alias(f"_n_{n}") for n, c in numeric.items()], *[c.cast("string").alias(f"_k_{n}") for n, c in categorical.items()]]
     nums, cats = [f"_n_{n}" for n in numeric], [f"_k_{n}" for n in categorical]
-    p = fit_prototypes(rows.select(*nums, *cats), nums, cats, k)
-    cluster = p.nearest() if p else F.lit(0)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), field.alias("_v"), entity.alias("_e"), *features)
+    p = fit_prototypes(rows.select(*nums, *cats), nums, cats, k) if "cluster" in levels else None
+    mode = lambda n: F.min_by("_v", F.when(F.col("_v").isNotNull(), F.struct(-F.col(n), F.col("_v"))))
+    folded = rows.filter("_e is not null").groupBy("_e", "_v").agg(F.count("*").alias("_n"))
+    stated = cut(folded.groupBy("_e").agg(mode("_n").alias("_entity"), F.sum(F.when(F.col("_v").isNull(), F.col("_n"))).alias("_gaps")).filter("_gaps > 0"))
+    gaps = rows.filter("_v is null").withColumn("_c", p.nearest() if p else F.lit(0))
+    many = F.broadcast(stated.filter(F.col("_gaps") > hot).select("_e", F.col("_entity").alias("_often"), F.lit(True).alias("_many")))
+    if "entity" not in levels:
+        placed = gaps.withColumn("_entity", F.lit(None).cast(gaps.schema["_v"].dataType))
+    else:
+        apart = gaps.join(many, "_e", "left")
+        straight = apart.filter("_e is null or _many").withColumn("_entity", F.col("_often"))
+        few = apart.filter("_e is not null and _many is null")
+        # entities that state nothing meet nothing: their rows stay where they are
+        stating = stated.filter((F.col("_gaps") <= hot) & F.col("_entity").isNotNull()).select("_e", "_entity")
+        placed = straight.drop("_often", "_many").unionByName(few.drop("_often", "_many").join(stating, "_e", "left"))
     known = rows.filter("_v is not null")
-    modes = known.filter("_e is not null").groupBy("_e", "_v").agg(F.count("*").alias("_n")).groupBy("_e").agg(F.min_by("_v", F.struct(-F.col("_n"), F.col("_v"))).alias("_entity"))
-    by_cluster = known.select(cluster.alias("_c"), "_v").groupBy("_c").agg(F.percentile_approx("_v", 0.5, 10000).alias("_cluster"))
-    whole = known.agg(F.percentile_approx("_v", 0.5, 10000).alias("_table"))
-    gaps = rows.filter("_v is null").withColumn("_c", cluster)
-    filled = (
-        gaps.join(modes, "_e", "left").join(by_cluster, "_c", "left").withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one", "left")
-        .select("__id", F.coalesce("_entity", "_cluster", "_table").alias(out), F.when(F.col("_entity").isNotNull(), "entity").when(F.col("_cluster").isNotNull(), "cluster").when(F.col("_table").isNotNull(), "table").otherwise("none").alias(method))
-    )
-    seen = df.filter(field.isNotNull()).withColumn(out, field).withColumn(method, F.lit("observed"))
-    return seen.unionByName(df.filter(field.isNull()).join(filled, F.col(id_col) == F.col("__id"), "left").drop("__id"))
+    clustered = known.select((p.nearest() if p else F.lit(0)).alias("_c"), "_v")
+    if kind == "number":
+        by_cluster = clustered.groupBy("_c").agg(F.percentile_approx("_v", 0.5, 10000).alias("_cluster"))
+        whole = known.agg(F.percentile_approx("_v", 0.5, 10000).alias("_middle")).first()["_middle"]
+    else:
+        counted = cut(clustered.groupBy("_c", "_v").agg(F.count("*").alias("_n")))
+        by_cluster = counted.groupBy("_c").agg(mode("_n").alias("_cluster"))
+        whole = counted.groupBy("_v").agg(F.sum("_n").alias("_n")).agg(mode("_n").alias("_middle")).first()["_middle"]
+    usable = lambda level, c: F.col(c) if level in levels else F.lit(None).cast(rows.schema["_v"].dataType)
+    table = F.lit(whole if "table" in levels else None).cast(rows.schema["_v"].dataType)
+    tiers = [("entity", usable("entity", "_entity")), ("cluster", usable("cluster", "_cluster")), ("table", table)]
+    named = F.lit("none")
+    for name, value in reversed(tiers):
+        named = F.when(value.isNotNull(), name).otherwise(named)
+    filled = placed.join(F.broadcast(by_cluster), "_c", "left").select("__row.*", F.coalesce(*[v for _, v in tiers]).alias(out), named.alias(method))
+    return known.select("__row.*", F.col("_v").alias(out), F.lit("observed").alias(method)).unionByName(filled)
+
+
+def held_out_error(df: DataFrame, field: Column, entity: Column, numeric: dict[str, Column], categorical: dict[str, Column], order: Column, share: int = 5, k: int = 16) -> DataFrame:
+    """(level, n, mean_error): every ``share``-th observed number is hidden and filled by each level alone.
+
+    ``order`` is a number by which the rows are hidden. Says what each level is worth on these data.
+    """
+    hidden = F.pmod(F.xxhash64(order), F.lit(share)) == 0
+    seen = df.withColumn("__true", field)
+    out = None
+    for level in ("entity", "cluster", "table"):
+        masked = F.when(~hidden, field)
+        filled = fill_from_clusters(seen, masked, entity, numeric, categorical, k, "__filled", "__method", levels=(level,))
+        part = filled.filter("__true is not null").filter(hidden).agg(F.lit(level).alias("level"), F.count("__filled").alias("n"), F.round(F.avg(F.abs(F.col("__filled") - F.col("__true"))), 4).alias("mean_error"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -6,22 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions.keys import compact, finite, present, usable_year
-from mensura.operators.fill_missing import fill_from_clusters
+from mensura.operators.fill_missing import fill_from_clusters, held_out_error
 from mensura.operators.schema_drift import schema_changes, unified
 from mensura.session import cut
 from mensura.sources.tables import table
 
 
+def _features() -> dict:
+    return {
+        "numeric": {"pchembl": F.when(finite("pchembl").between(0, 14), F.col("pchembl")), "loaded": F.col("loaded_at").cast("timestamp").cast("double") / 86400},
+        "categorical": {"gene": compact("gene"), "endpoint": compact("endpoint"), "source": compact("source")},
+    }
+
+
 def filled_years(spark: SparkSession, folder: str) -> DataFrame:
     """measurement with year_filled and year_method."""
     m = table(spark, folder, "measurement")
-    assay = F.upper(present("assay_id"))
-    return fill_from_clusters(
-        m, usable_year("year"), assay,
-        numeric={"pchembl": F.when(finite("pchembl").between(0, 14), F.col("pchembl")), "loaded": F.col("loaded_at").cast("timestamp").cast("double") / 86400},
-        categorical={"gene": compact("gene"), "endpoint": compact("endpoint"), "source": compact("source")},
-        id_col="row_id", out="year_filled", method="year_method",
-    )
+    return fill_from_clusters(m, usable_year("year"), F.upper(present("assay_id")), **_features(), out="year_filled", method="year_method")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +33,20 @@ def p5_filled(spark: SparkSession, folder: str) -> DataFrame:
     return filled_years(spark, folder).select("row_id", "year", "year_filled", "year_method")
 
 
+def p5_genes(spark: SparkSession, folder: str) -> DataFrame:
+    """A categorical field: the gene of rows without one, from their target, the rows most like them, or the table."""
+    m = table(spark, folder, "measurement")
+    numeric, categorical = _features().values()
+    like = {n: c for n, c in categorical.items() if n != "gene"}
+    filled = fill_from_clusters(m, compact("gene"), F.upper(present("target_chembl_id")), numeric, like, out="gene_filled", method="gene_method", kind="category")
+    return filled.select("row_id", "gene_filled", "gene_method")
+
+
+def p5_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """What each level is worth: every fifth observed year hidden and filled again."""
+    return held_out_error(table(spark, folder, "measurement"), usable_year("year"), F.upper(present("assay_id")), **_features(), order=F.col("row_id"))
+
+
 def _changes(spark: SparkSession, folder: str) -> DataFrame:
     return schema_changes(table(spark, folder, "export_file"), table(spark, folder, "export_line"))
 
@@ -45,7 +60,7 @@ def p7_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_filled, p7_found, p7_table)}
+    return {f.__name__: f for f in (p5_found, p5_filled, p5_genes, p5_holdout, p7_found, p7_table)}
 
 
 def oracle_sql() -> dict[str, str]:

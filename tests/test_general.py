@@ -1,13 +1,14 @@
 """Filling years and drifting schemas on small inputs; queries against SQL on the smallest tables."""
 
 import os
+import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from mensura.functions.keys import usable_year
-from mensura.operators import schema_drift
+from mensura.operators import fill_missing, schema_drift
 from mensura.operators.fill_missing import fill_from_clusters
 from mensura.operators.schema_drift import correspondences, schema_changes, unified
 
@@ -15,7 +16,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def fill(df):
-    return fill_from_clusters(df, usable_year("year"), F.upper(F.trim("assay")), {"x": F.col("x")}, {"g": F.col("g")}, "row_id", k=3, out="f", method="m")
+    return fill_from_clusters(df, usable_year("year"), F.upper(F.trim("assay")), {"x": F.col("x")}, {"g": F.col("g")}, k=3, out="f", method="m")
 
 
 def test_fill_levels_ties_nulls_and_clashing_names(spark):
@@ -118,3 +119,19 @@ def test_casts_are_learnt_from_the_other_files(spark):
     for i in range(12):
         a, b = got[0, 2 + i], got[1, 2 + i]
         assert (a["smiles"], a["pchembl"], a["assay_id"], a["year"]) == (b["smiles"], b["pchembl"], b["assay_id"], b["year"]) == (f"C{'C' * i}O", 5 + i / 10, f"XY{i + 1:04d}", 2001 + i)
+
+
+def test_clusters_say_more_than_the_table(spark):
+    """Three kinds of rows with years of their own; entities know nothing. The cluster's median is near, the table's is not, and a hot entity is filled like others."""
+    rng = random.Random(3)
+    data = [(i, f"e{i % 7}" if i % 2 else None, 2000 + 10 * (i % 3) + rng.randrange(3), float(i % 3) + rng.random() / 5, "abc"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(data, "row_id long, assay string, year int, x double, g string")
+    error = lambda k: {r["level"]: r["mean_error"] for r in fill_missing.held_out_error(df, usable_year("year"), F.lit(None).cast("string"), {"x": F.col("x")}, {"g": F.col("g")}, F.col("row_id"), k=k).collect()}
+    found = error(8)
+    assert found["cluster"] < 2 < 5 < found["table"] and found["entity"] is None
+    assert error(1)["cluster"] > 5  # without clusters nothing is gained
+    masked = F.when(F.col("row_id") % 4 > 0, usable_year("year"))
+    fill = lambda hot: rows(fill_from_clusters(df, masked, F.col("assay"), {"x": F.col("x")}, {"g": F.col("g")}, k=3, out="f", method="m", hot=hot), "row_id", "f", "m")
+    assert fill(5) == fill(100_000)
+    kinds = fill_from_clusters(df.withColumn("c", F.when(F.col("row_id") % 5 > 0, F.col("g"))), F.col("c"), F.lit(None).cast("string"), {"x": F.col("x")}, {}, k=12, out="f", method="m", kind="category")
+    assert all(r["f"] == r["g"] for r in kinds.collect()) and {r["m"] for r in kinds.select("m").distinct().collect()} == {"observed", "cluster"}
