@@ -5,44 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.operators.similarity import nearest
+from mensura.operators.similarity import nearest, range_join
+from mensura.operators.splits import quantiles
+from mensura.session import cut
 
 BY = ["split", "seed"]
 
 
-def exact_dupes(sided: DataFrame, key: str = "inchikey") -> DataFrame:
+def exact_dupes(sided: DataFrame, key: str = "inchikey", by: list[str] = BY) -> DataFrame:
     """(split, seed, exact_dupe_keys): test rows whose key is in train; each row counts."""
-    train = sided.filter("side = 'train'").select(*BY, key).distinct()
-    hit = sided.filter("side = 'test'").join(train, [*BY, key], "left_semi").groupBy(*BY).agg(F.count("*").alias("n"))
-    return sided.select(*BY).distinct().join(hit, BY, "left").select(*BY, F.coalesce("n", F.lit(0)).alias("exact_dupe_keys"))
+    train = sided.filter("side = 'train'").select(*by, key).distinct()
+    hit = sided.filter("side = 'test'").join(train, [*by, key], "left_semi").groupBy(*by).agg(F.count("*").alias("n"))
+    return sided.select(*by).distinct().join(hit, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("exact_dupe_keys"))
 
 
-def scaffold_straddle(sided: DataFrame, group: str = "scaffold") -> DataFrame:
+def scaffold_straddle(sided: DataFrame, group: str = "scaffold", by: list[str] = BY) -> DataFrame:
     """(split, seed, scaffold_straddle_frac): share of test rows whose group is in train; null groups are the group ''."""
     g = F.coalesce(group, F.lit(""))
-    train = sided.filter("side = 'train'").select(*BY, g.alias("_g")).distinct().withColumn("_hit", F.lit(1.0))
-    test = sided.filter("side = 'test'").select(*BY, g.alias("_g")).join(train, [*BY, "_g"], "left")
-    share = test.groupBy(*BY).agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias("f"))
-    return sided.select(*BY).distinct().join(share, BY, "left").select(*BY, F.round(F.coalesce("f", F.lit(0.0)), 6).alias("scaffold_straddle_frac"))
+    train = sided.filter("side = 'train'").select(*by, g.alias("_g")).distinct().withColumn("_hit", F.lit(1.0))
+    test = sided.filter("side = 'test'").select(*by, g.alias("_g")).join(train, [*by, "_g"], "left")
+    share = test.groupBy(*by).agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias("f"))
+    return sided.select(*by).distinct().join(share, by, "left").select(*by, F.round(F.coalesce("f", F.lit(0.0)), 6).alias("scaffold_straddle_frac"))
 
 
-def nearest_train(sided: DataFrame, sets: DataFrame, key: str = "inchikey") -> DataFrame:
-    """(split, seed, key, nn): similarity of each test key to the nearest train vector; keys without a vector have 0."""
-    own = sided.join(sets.select(key, "pos"), key, "left").withColumn("pos", F.coalesce("pos", F.array().cast("array<int>")))
-    test = own.filter("side = 'test'").select(*BY, F.col(key).alias("a"), "pos").distinct()
-    train = own.filter("side = 'train' and size(pos) > 0").select(*BY, "pos").distinct()
-    return nearest(test, train, BY).withColumnRenamed("a", key)
+def nearest_train(sided: DataFrame, sets: DataFrame, key: str = "inchikey", by: list[str] = BY, least: float = 0.5) -> DataFrame:
+    """(by, key, nn): similarity of each test key to the nearest train vector; keys without a vector have 0.
 
+    Pairs of ``least`` or more come from one exact range join over all vectors, whatever the number of
+    splits; only test keys that have no train key among them are compared with the train vectors
+    in blocks.
+    """
+    test = sided.filter("side = 'test'").select(*by, key).distinct()
+    train = sided.filter("side = 'train'").select(*by, F.col(key).alias("_b")).distinct()
+    sets = cut(sets.select(key, F.col("set_id") if "set_id" in sets.columns else F.xxhash64(key).alias("set_id"), "pos"))
+    pairs = range_join(sets, least)
+    names = sets.select("set_id", key)
+    named = pairs.join(names.select(F.col("set_id").alias("a"), F.col(key).alias("ka")), "a").join(names.select(F.col("set_id").alias("b"), F.col(key).alias("kb")), "b").select("ka", "kb", "similarity")
+    links = named.union(named.select("kb", "ka", "similarity")).union(names.select(key, key, F.lit(1.0))).toDF(key, "_b", "similarity")
+    found = cut(test.join(links, key).join(train, [*by, "_b"]).groupBy(*by, key).agg(F.max("similarity").alias("nn")))
+    vectors = sets.select(key, "pos")
+    rest = test.join(found, [*by, key], "left_anti").join(vectors, key, "left").select(*by, F.col(key).alias("a"), F.coalesce("pos", F.array().cast("array<int>")).alias("pos"))
+    far = nearest(cut(rest), train.withColumnRenamed("_b", key).join(vectors, key).select(*by, "pos").distinct(), by).withColumnRenamed("a", key)
+    return found.select(*by, key, "nn").unionByName(far.select(*by, key, "nn"))
 
-def leakage_audit(sided: DataFrame, sets: DataFrame, key: str = "inchikey") -> DataFrame:
+
+def leakage_audit(sided: DataFrame, sets: DataFrame, key: str = "inchikey", by: list[str] = BY) -> DataFrame:
     """One row per (split, seed) with the nine figures of the leak report."""
-    sizes = sided.groupBy(*BY).agg(F.count_if(F.col("side") == "train").alias("n_train"), F.count_if(F.col("side") == "test").alias("n_test"))
-    nn = sided.filter("side = 'test'").select(*BY, key).join(nearest_train(sided, sets, key), [*BY, key])
-    q = F.percentile("nn", F.array(F.lit(0.5), F.lit(0.9)))
-    figures = nn.groupBy(*BY).agg(q.alias("q"), F.avg((F.col("nn") >= 0.7).cast("double")).alias("f7"), F.avg((F.col("nn") >= 0.9).cast("double")).alias("f9"))
+    sizes = sided.groupBy(*by).agg(F.count_if(F.col("side") == "train").alias("n_train"), F.count_if(F.col("side") == "test").alias("n_test"))
+    nn = cut(sided.filter("side = 'test'").select(*by, key).join(nearest_train(sided, sets, key, by), [*by, key]))
+    shares = nn.groupBy(*by).agg(F.avg((F.col("nn") >= 0.7).cast("double")).alias("f7"), F.avg((F.col("nn") >= 0.9).cast("double")).alias("f9"))
     r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    figures = figures.select(*BY, r(F.col("q")[0]).alias("nn_tanimoto_median"), r(F.col("q")[1]).alias("nn_tanimoto_p90"), r(F.col("f7")).alias("frac_test_nn_ge_0_7"), r(F.col("f9")).alias("frac_test_nn_ge_0_9"))
-    out = sizes.join(exact_dupes(sided, key), BY).join(figures, BY, "left").join(scaffold_straddle(sided), BY)
+    figures = shares.join(quantiles(nn, by, "nn", [0.5, 0.9]), by).select(*by, r(F.col("q")[0]).alias("nn_tanimoto_median"), r(F.col("q")[1]).alias("nn_tanimoto_p90"), r(F.col("f7")).alias("frac_test_nn_ge_0_7"), r(F.col("f9")).alias("frac_test_nn_ge_0_9"))
+    out = sizes.join(exact_dupes(sided, key, by), by).join(figures, by, "left").join(scaffold_straddle(sided, by=by), by)
     return out.na.fill(0.0, ["nn_tanimoto_median", "nn_tanimoto_p90", "frac_test_nn_ge_0_7", "frac_test_nn_ge_0_9"])
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mensura.operators.splits import running
+
 BY = ["split", "seed"]
 
 
@@ -13,34 +14,33 @@ def _r(c, name: str):
     return F.round(c, 6).alias(name)
 
 
-def point_metrics(test: DataFrame) -> DataFrame:
+def point_metrics(test: DataFrame, by: list[str] = BY) -> DataFrame:
     """rmse, mae, r2 per (split, seed); a constant y counts as a total of 1e-12."""
-    mean = test.groupBy(*BY).agg(F.avg("y").alias("_m"))
-    e = test.join(mean, BY).withColumn("_e", F.col("y") - F.col("mu")).withColumn("_t", F.pow(F.col("y") - F.col("_m"), 2))
+    mean = test.groupBy(*by).agg(F.avg("y").alias("_m"))
+    e = test.join(mean, by).withColumn("_e", F.col("y") - F.col("mu")).withColumn("_t", F.pow(F.col("y") - F.col("_m"), 2))
     total = F.when(F.sum("_t") == 0, 1e-12).otherwise(F.sum("_t"))
-    return e.groupBy(*BY).agg(_r(F.sqrt(F.avg(F.col("_e") * F.col("_e"))), "rmse"), _r(F.avg(F.abs("_e")), "mae"), _r(1 - F.sum(F.col("_e") * F.col("_e")) / total, "r2"))
+    return e.groupBy(*by).agg(_r(F.sqrt(F.avg(F.col("_e") * F.col("_e"))), "rmse"), _r(F.avg(F.abs("_e")), "mae"), _r(1 - F.sum(F.col("_e") * F.col("_e")) / total, "r2"))
 
 
-def spearman(test: DataFrame) -> DataFrame:
+def spearman(test: DataFrame, by: list[str] = BY) -> DataFrame:
     """Correlation of average ranks per (split, seed); null for two rows or fewer and for constants."""
-    out = test.select(*BY, "y", F.round("mu", 9).alias("mu"))
+    out = test.select(*by, "y", F.round("mu", 9).alias("mu"))
     for c in ("y", "mu"):
-        ties = out.groupBy(*BY, c).agg(F.count("*").alias("_n"))
-        below = F.coalesce(F.sum("_n").over(W.partitionBy(*BY).orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ranks = ties.withColumn(f"r_{c}", below + (F.col("_n") + 1) / 2).drop("_n")
-        out = out.join(ranks, [*BY, c])
+        ties = out.groupBy(*by, c).agg(F.count("*").alias("_n"))
+        ranks = running(ties, by, [F.col(c)], F.col("_n")).select(*by, c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"r_{c}"))
+        out = out.join(ranks, [*by, c])
     together = F.try_divide(F.covar_pop("r_y", "r_mu"), F.stddev_pop("r_y") * F.stddev_pop("r_mu"))
-    return out.groupBy(*BY).agg(_r(F.when(F.count("*") > 2, together), "spearman"))
+    return out.groupBy(*by).agg(_r(F.when(F.count("*") > 2, together), "spearman"))
 
 
-def coverage_strata(test: DataFrame, near: float = 0.7, novel: float = 0.5) -> DataFrame:
+def coverage_strata(test: DataFrame, near: float = 0.7, novel: float = 0.5, by: list[str] = BY) -> DataFrame:
     """Coverage, mean width, and the width of rows with a near (nn >= 0.7) or no similar (nn < 0.5) fit row; empty strata are null."""
     w = 2 * F.col("half")
-    return test.groupBy(*BY).agg(
+    return test.groupBy(*by).agg(
         _r(F.avg(F.col("covered").cast("double")), "coverage"), _r(F.avg(w), "mean_width"), _r(F.avg(F.when(F.col("nn") >= near, w)), "width_low_novel"), _r(F.avg(F.when(F.col("nn") < novel, w)), "width_high_novel")
     )
 
 
-def fold_result(test: DataFrame) -> DataFrame:
+def fold_result(test: DataFrame, by: list[str] = BY) -> DataFrame:
     """All figures of a fold in one row per (split, seed)."""
-    return point_metrics(test).join(spearman(test), BY).join(coverage_strata(test), BY)
+    return point_metrics(test, by).join(spearman(test, by), by).join(coverage_strata(test, by=by), by)

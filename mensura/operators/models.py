@@ -13,7 +13,7 @@ from mensura.session import ensure_checkpoint_dir
 BY = ["split", "seed"]
 
 
-def knn_predict(roles: DataFrame, pairs: DataFrame, k: int = 5, key: str = "key", entity: str = "inchikey") -> DataFrame:
+def knn_predict(roles: DataFrame, pairs: DataFrame, k: int = 5, key: str = "key", entity: str = "inchikey", by: list[str] = BY) -> DataFrame:
     """(split, seed, key, role, y, mu, sigma, nn) of all cal and test rows.
 
     mu and sigma are mean and population deviation (+ 1e-6) of y over the k most similar fit rows (ties
@@ -22,17 +22,17 @@ def knn_predict(roles: DataFrame, pairs: DataFrame, k: int = 5, key: str = "key"
     An addition to the forest, for checks that need exact numbers.
     """
     sims = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity"))
-    targets = roles.filter("role <> 'fit'").select(*BY, key, "role", "y", F.col(entity).alias("_e"))
-    fit = roles.filter("role = 'fit'").select(*BY, F.col(key).alias("_k"), F.col("y").alias("_y"), F.col(entity).alias("_f"))
+    targets = roles.filter("role <> 'fit'").select(*by, key, "role", "y", F.col(entity).alias("_e"))
+    fit = roles.filter("role = 'fit'").select(*by, F.col(key).alias("_k"), F.col("y").alias("_y"), F.col(entity).alias("_f"))
     near = sims.select(F.col("a").alias("_e"), F.col("b").alias("_f"), "similarity")
     ids = targets.select("_e").distinct()
     near = near.unionByName(ids.select("_e", F.col("_e").alias("_f"), F.lit(1.0).alias("similarity")))
-    met = targets.select(*BY, key, "_e").join(near, "_e").join(fit, [*BY, "_f"])
-    ranked = met.withColumn("_r", F.row_number().over(W.partitionBy(*BY, key).orderBy(F.desc("similarity"), "_k"))).filter(F.col("_r") <= k)
-    local = ranked.groupBy(*BY, key).agg(F.avg("_y").alias("_mu"), F.stddev_pop("_y").alias("_sd"), F.max("similarity").alias("_nn"))
-    whole = fit.groupBy(*BY).agg(F.avg("_y").alias("_gmu"), F.stddev_pop("_y").alias("_gsd"))
-    out = targets.join(local, [*BY, key], "left").join(whole, BY, "left")
-    return out.select(*BY, key, "role", "y", F.coalesce("_mu", "_gmu").alias("mu"), F.round(F.coalesce("_sd", "_gsd") + 1e-6, 9).alias("sigma"), F.coalesce("_nn", F.lit(0.0)).alias("nn"))
+    met = targets.select(*by, key, "_e").join(near, "_e").join(fit, [*by, "_f"])
+    ranked = met.withColumn("_r", F.row_number().over(W.partitionBy(*by, key).orderBy(F.desc("similarity"), "_k"))).filter(F.col("_r") <= k)
+    local = ranked.groupBy(*by, key).agg(F.avg("_y").alias("_mu"), F.stddev_pop("_y").alias("_sd"), F.max("similarity").alias("_nn"))
+    whole = fit.groupBy(*by).agg(F.avg("_y").alias("_gmu"), F.stddev_pop("_y").alias("_gsd"))
+    out = targets.join(local, [*by, key], "left").join(whole, by, "left")
+    return out.select(*by, key, "role", "y", F.coalesce("_mu", "_gmu").alias("mu"), F.round(F.coalesce("_sd", "_gsd") + 1e-6, 9).alias("sigma"), F.coalesce("_nn", F.lit(0.0)).alias("nn"))
 
 
 def forest_predict(fit: DataFrame, targets: DataFrame, features: str = "features", label: str = "y", key: str = "key", trees: int = 20, depth: int = 8, seed: int = 1) -> DataFrame:

@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BY = ["split", "seed"]
 SPLITS = ("random", "scaffold", "cluster", "time")
 
 
-def result_rows(normal: DataFrame, binned: DataFrame) -> DataFrame:
+def result_rows(normal: DataFrame, binned: DataFrame, by: list[str] = BY) -> DataFrame:
     """Results table: the fold figures of the normalised run and coverage and width of the binned one."""
-    a = normal.select("split", "seed", "rmse", "mae", "r2", "spearman", "coverage", F.col("mean_width").alias("width"), F.col("width_low_novel").alias("width_near"), F.col("width_high_novel").alias("width_novel"))
-    b = binned.select("split", "seed", F.col("coverage").alias("coverage_mondrian"), F.col("mean_width").alias("width_mondrian"))
-    return a.join(b, ["split", "seed"])
+    a = normal.select(*by, "rmse", "mae", "r2", "spearman", "coverage", F.col("mean_width").alias("width"), F.col("width_low_novel").alias("width_near"), F.col("width_high_novel").alias("width_novel"))
+    b = binned.select(*by, F.col("coverage").alias("coverage_mondrian"), F.col("mean_width").alias("width_mondrian"))
+    return a.join(b, by)
 
 
 def _r(c, name: str):
     return F.round(c, 6).alias(name)
 
 
-def seed_summary(results: DataFrame) -> DataFrame:
+def seed_summary(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Means and population deviations over seeds (nulls skipped)."""
-    return results.groupBy("split").agg(
+    return results.groupBy(*by, "split").agg(
         _r(F.avg("r2"), "r2"), _r(F.stddev_pop("r2"), "r2_sd"), _r(F.avg("rmse"), "rmse"), _r(F.avg("coverage"), "coverage"), _r(F.stddev_pop("coverage"), "cov_sd"), _r(F.avg("width"), "width"),
         _r(F.avg("coverage_mondrian"), "cov_mond"), _r(F.avg("width_mondrian"), "width_mond"),
     )
@@ -40,12 +41,12 @@ def worst_split(summary: DataFrame) -> DataFrame:
     return summary.filter(F.col("split").isin("scaffold", "cluster", "time")).agg(F.min_by("split", F.struct("r2", "split")).alias("split"), F.min("r2").alias("r2"))
 
 
-def overcoverage(summary: DataFrame, alpha: float = 0.1) -> DataFrame:
+def overcoverage(summary: DataFrame, alpha: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
     """Prospective splits that cover 0.03 or more above nominal, and whether binning brings them nearer without falling 0.02 below."""
     nominal = F.lit(1.0 - alpha)
     over = summary.filter(F.col("split").isin("scaffold", "cluster", "time") & (F.col("coverage") >= F.round(nominal + 0.03, 6)))
     better = (F.abs(F.col("cov_mond") - nominal) < F.abs(F.col("coverage") - nominal)) & (F.col("cov_mond") >= F.round(nominal - 0.02, 6))
-    return over.select("split", "coverage", "width", "cov_mond", "width_mond", better.alias("improved"))
+    return over.select(*by, "split", "coverage", "width", "cov_mond", "width_mond", better.alias("improved"))
 
 
 def _in_order(spark, rows: DataFrame) -> DataFrame:
