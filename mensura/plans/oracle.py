@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 MISSING = "('', 'NA', 'N/A', 'NAN', 'NONE', 'NULL', '-')"
 B = r"[\s\x{00A0}\x{2007}\x{202F}\x{200B}\x{FEFF}]"
 NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -131,6 +133,30 @@ def w(chain: str, select: str) -> str:
     return f"with {chain.strip()}\n{select}"
 
 
+def per_endpoint(chain: str) -> str:
+    """A chain over IC50 rows with the endpoint as one more key, so over all rows."""
+    chain = chain.replace("where endpoint = 'IC50')", ")").replace("(select median(year) from ic)", "(select median(i.year) from ic i where i.endpoint = ic.endpoint)")
+    chain = chain.replace("model_rows as (select concat_ws", "model_rows as (select endpoint, concat_ws")
+    chain = chain.replace("row_number() over (order by", "row_number() over (partition by endpoint order by").replace("count(*) over ()", "count(*) over (partition by endpoint)").replace("sum(n) over (order by", "sum(n) over (partition by endpoint order by").replace("sum(n) over ()", "sum(n) over (partition by endpoint)")
+    chain = chain.replace("(select scaffold, case when", "(select endpoint, scaffold, case when").replace("from (select scaffold, count(*) as n from model_rows group by 1)) g using (scaffold)", "from (select endpoint, scaffold, count(*) as n from model_rows group by 1, 2)) g using (endpoint, scaffold)")
+    chain = re.sub(r"((?:\w+\.)?)split, ((?:\w+\.)?)seed", r"\1endpoint, \1split, \2seed", chain)
+    chain = re.sub(r"(\w+)\.split = (\w+)\.split", r"\1.endpoint = \2.endpoint and \1.split = \2.split", chain)
+    # the summary has no seed; splits with too few rows are left out
+    chain = chain.replace("summary as (select split,", "summary as (select endpoint, split,").replace("from results group by 1)", "from results group by 1, 2)")
+    return chain
+
+
+def evaluated(chain: str) -> str:
+    """Only splits with ten test and forty train rows are given roles."""
+    return chain.replace("end as role from sided)", "end as role from sided join (select endpoint, split, seed from sided group by all having count(*) filter (where side = 'test') >= 10 and count(*) filter (where side = 'train') >= 40) using (endpoint, split, seed))")
+
+
+FIGURES = "rmse mae r2 spearman coverage width width_near width_novel coverage_mondrian width_mondrian"
+LOGO = """
+sided as (select 'logo' as split, 42 as seed, r.*, case when gene = 'KRZF' then 'test' else 'train' end as side from model_rows r
+  where gene <> 'KRZF' or not exists (select 1 from model_rows x where x.gene <> 'KRZF' and x.endpoint = r.endpoint and x.inchikey = r.inchikey))"""
+
+
 def rounded(columns: str, digits: int) -> str:
     return ", ".join(f"round({c}, {digits}) as {c}" for c in columns.split())
 
@@ -196,4 +222,15 @@ def oracle_sql() -> dict[str, str]:
         "panel_b": w(RESULTS, f"select o.split, ord, round(r2_mean, 4) as r2_mean, round(r2_sd, 4) as r2_sd from {ORDER} left join (select split, avg(r2) as r2_mean, coalesce(stddev_samp(r2), 0) as r2_sd from results group by 1) g on g.split = o.split"),
         "panel_c": w(RESULTS, f"select o.split, ord, {rounded('coverage_mean coverage_sd coverage_mondrian_mean coverage_mondrian_sd', 4)} from {ORDER} left join (select split, avg(coverage) as coverage_mean, coalesce(stddev_samp(coverage), 0) as coverage_sd, avg(coverage_mondrian) as coverage_mondrian_mean, coalesce(stddev_samp(coverage_mondrian), 0) as coverage_mondrian_sd from results group by 1) g on g.split = o.split"),
         "panel_d": w(RESULTS, f"select o.split, ord, {rounded('near novel', 4)} from {ORDER} left join (select split, avg(width_near) as near, avg(width_novel) as novel from results group by 1) g on g.split = o.split"),
+        "endpoint_choice": w(CT, "select endpoint, n from (select endpoint, count(*) as n from m_merged group by 1) order by n desc, endpoint limit 1"),
+        "endpoint_results": w(evaluated(per_endpoint(RESULTS)), f"select endpoint, split, seed, {rounded(FIGURES, 4)} from results"),
+        "endpoint_audit": w(per_endpoint(AUDIT), "select * from audit"),
+        "endpoint_overcoverage": w(evaluated(per_endpoint(RESULTS)), f"select endpoint, split, {rounded('coverage width cov_mond width_mond', 4)}, abs(cov_mond - (1e0 - 2e-1)) < abs(coverage - (1e0 - 2e-1)) and cov_mond >= round(1e0 - 2e-1 - 2e-2, 6) as improved from summary where split in ('scaffold', 'cluster', 'time') and coverage >= round(1e0 - 2e-1 + 3e-2, 6)"),
+        "logo_evaluate": w(evaluated(per_endpoint(RESULTS.replace(SIDED, ROWS + "," + LOGO))), f"select endpoint, split, seed, {rounded(FIGURES, 4)} from results"),
+        "pipeline_invariants": w(CT, "select endpoint, count(*) as n_rows, true as about_a_quarter, 0::bigint as n_torn from m_merged group by 1"),
+        "dump_measurements": f"""with m as (select * from measurement where row_id is not null and mol_id is not null and target_chembl_id is not null), s as (select mol_id, min({present('smiles')}) as smiles from m group by 1)
+            select case target_chembl_id when 'TGT40210' then 'G0' when 'TGT40247' then 'G1' else 'G2' end as gene, {year('year')} as year, count(*) as n, round(avg(pchembl), 6) as mean, count(assay_id) as n_assays from m join s using (mol_id)
+            where target_chembl_id in ('TGT40210', 'TGT40247', 'TGT40284') and row_id % 5 <> 0 and row_id % 7 <> 0 and endpoint = 'IC50' and s.smiles is not null and not isnan(pchembl) and not isinf(pchembl) group by 1, 2""",
+        "csv_directory": f"""select upper(gene) as gene, count(*) as n, round(sum(pchembl), 4) as total, count(year) as n_year from measurement where regexp_matches(gene, '^KRZ[A-Z]$') and {present('smiles')} is not null and upper(trim(endpoint)) = 'IC50' and row_id % 6 <> 0 and not isnan(pchembl) and not isinf(pchembl) group by 1""",
+        "results_roundtrip": w(CT, "select endpoint, gene, count(*) as n from m_merged group by 1, 2"),
     }

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.functions.fingerprint import positions
+from mensura.functions.fingerprint import N_BITS, positions
 from mensura.functions.keys import finite, present, usable_year
 from mensura.functions.text import equals_relation, exact_number, first_match, largest_fragment, p_scale, text_key
 from mensura.operators import audit, cluster, conformal, harmonise, metrics, models, report, similarity, splits
-from mensura.session import cut
+from mensura.session import cut, ensure_checkpoint_dir
+from mensura.sources import delimited, dump, sinks
 from mensura.sources.delimited import wide_measurements
 from mensura.sources.tables import table
 
 PLAN = [("random", 1), ("random", 2), ("scaffold", 1), ("scaffold", 2), ("time", 1)]
+#: The same with clusters; time is split once.
+FULL_PLAN = [*PLAN[:4], ("cluster", 1), ("cluster", 2), ("time", 1)]
+EBY = ["endpoint", "split", "seed"]
+HELD_GENE = "KRZF"
 #: Similarity from which a row is a neighbour of the similar-rows predictor.
 NEIGHBOUR = 0.5
 FAMILY = {"G0": "TGT40210", "G1": "TGT40247", "G2": "TGT40284"}
@@ -346,11 +353,172 @@ def rf_predict_sigma(spark: SparkSession, d: str) -> DataFrame:
     return out.select("key", _r("mu"), _r("sigma"))
 
 
+# ---- every endpoint
+
+
+def endpoint_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the merged table of every endpoint: endpoint, key, inchikey, gene, scaffold, year (the endpoint's median where it is missing), y."""
+    m = cut(_merged(spark, d))
+    medians = m.groupBy("endpoint").agg(F.median("year").alias("_m"))
+    filled = m.join(F.broadcast(medians), "endpoint").withColumn("year", F.coalesce(F.col("year").cast("double"), "_m"))  # one row an endpoint
+    return filled.select("endpoint", F.concat_ws("|", *harmonise.KEY).alias("key"), "inchikey", "gene", F.coalesce("scaffold", F.lit("")).alias("scaffold"), "year", F.col("pchembl").alias("y"))
+
+
+def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of every endpoint with their cluster, neighbours)."""
+    sets, pairs = _neighbours(spark, d, NEIGHBOUR)
+    pairs = cut(pairs)
+    c = cluster.sphere_exclusion(sets.select("inchikey"), pairs.filter("similarity >= 0.65"), "inchikey")
+    return cut(endpoint_rows(spark, d).join(c, "inchikey", "left").withColumn("cluster", F.coalesce("cluster", "inchikey"))), pairs
+
+
+def _evaluated(sided: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Results table per endpoint, split and seed; splits with too few rows are left out."""
+    roles = cut(splits.calibration_roles(splits.large_enough(sided, EBY), "key", by=("endpoint",)))
+    p = cut(models.knn_predict(roles, pairs, by=EBY))
+    return report.result_rows(metrics.fold_result(cut(conformal.normalised(p, by=EBY)), by=EBY), metrics.coverage_strata(cut(conformal.mondrian(p, by=EBY)), by=EBY), by=EBY)
+
+
+def _endpoint_results(spark: SparkSession, d: str) -> DataFrame:
+    rows, pairs = cut(endpoint_rows(spark, d)), cut(_neighbours(spark, d, NEIGHBOUR)[1])
+    return cut(_evaluated(cut(splits.split_table(rows, "key", PLAN, by=("endpoint",))), pairs))
+
+
+def endpoint_results(spark: SparkSession, d: str) -> DataFrame:
+    """Every endpoint, split and seed but for the cluster split (see pipeline_results)."""
+    r = _endpoint_results(spark, d)
+    return r.select(*EBY, *[_r(c, 4) for c in r.columns if c not in EBY])
+
+
+def endpoint_audit(spark: SparkSession, d: str) -> DataFrame:
+    sided = cut(splits.split_table(cut(endpoint_rows(spark, d)), "key", PLAN, by=("endpoint",)))
+    return audit.leakage_audit(sided, cut(_sets(spark, d)), by=EBY)
+
+
+def endpoint_overcoverage(spark: SparkSession, d: str) -> DataFrame:
+    """At a nominal coverage of 0.8, so that there are splits that cover more."""
+    s = report.seed_summary(_endpoint_results(spark, d), ("endpoint",))
+    return report.overcoverage(s, 0.2, ("endpoint",)).select("endpoint", "split", _r("coverage", 4), _r("width", 4), _r("cov_mond", 4), _r("width_mond", 4), "improved")
+
+
+def endpoint_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The endpoint with most rows, which the figures show (ties by name)."""
+    n = endpoint_rows(spark, d).groupBy("endpoint").agg(F.count("*").alias("n"))
+    return n.agg(F.min_by("endpoint", F.struct(-F.col("n"), "endpoint")).alias("endpoint"), F.max("n").alias("n"))
+
+
+def pipeline_results(spark: SparkSession, d: str) -> DataFrame:
+    """All four splits of every endpoint, the cluster split among them."""
+    rows, pairs = _clustered(spark, d)
+    r = _evaluated(cut(splits.split_table(rows, "key", FULL_PLAN, by=("endpoint",))), pairs)
+    return r.select(*EBY, *[_r(c, 4) for c in r.columns if c not in EBY])
+
+
+def pipeline_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Leak figures of all four splits of every endpoint, seed 1."""
+    rows, _ = _clustered(spark, d)
+    plan = [(kind, seed) for kind, seed in FULL_PLAN if seed == 1]
+    return audit.leakage_audit(cut(splits.split_table(rows, "key", plan, by=("endpoint",))), cut(_sets(spark, d)), by=EBY)
+
+
+def pipeline_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per endpoint of the cluster split: rows, clusters on both sides (none), and whether test holds about a quarter."""
+    rows, _ = _clustered(spark, d)
+    sided = cut(splits.split_table(rows, "key", [("cluster", 1)], by=("endpoint",)))
+    torn = sided.groupBy("endpoint", "cluster").agg(F.countDistinct("side").alias("n")).groupBy("endpoint").agg(F.count_if(F.col("n") > 1).alias("n_torn"))
+    n = sided.groupBy("endpoint").agg(F.count("*").alias("n_rows"), (F.avg((F.col("side") == "test").cast("double")).between(0.2, 0.35)).alias("about_a_quarter"))
+    return n.join(torn, "endpoint")
+
+
+def logo_evaluate(spark: SparkSession, d: str) -> DataFrame:
+    """Leave one gene out, per endpoint: its rows whose molecule no other gene has are the test rows, where there are ten or more."""
+    rows = cut(endpoint_rows(spark, d))
+    rest = rows.filter(F.col("gene") != HELD_GENE)
+    own = rows.filter(F.col("gene") == HELD_GENE).join(rest.select("endpoint", "inchikey").distinct(), ["endpoint", "inchikey"], "left_anti")
+    both = rest.withColumn("side", F.lit("train")).unionByName(own.withColumn("side", F.lit("test")))
+    sided = cut(both.select(F.lit("logo").alias("split"), F.lit(42).alias("seed"), *rows.columns, "side"))
+    r = _evaluated(sided, cut(_neighbours(spark, d, NEIGHBOUR)[1]))
+    return r.select(*EBY, *[_r(c, 4) for c in r.columns if c not in EBY])
+
+
+def rf_evaluate(spark: SparkSession, d: str) -> DataFrame:
+    """The forest through both kinds of intervals: fit on the fit rows of every endpoint's random split, calibrated, judged on its test rows.
+
+    Features are the vector's positions and, beside them, how many there are and how many others share
+    them on average (the counterparts of the counts and descriptors of a chemistry toolkit).
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
+
+    sets, pairs = _neighbours(spark, d, NEIGHBOUR)
+    rows = cut(endpoint_rows(spark, d).filter("endpoint = 'IC50'").join(sets.select("inchikey", "pos", "n_on"), "inchikey"))
+    roles = cut(splits.calibration_roles(splits.large_enough(cut(splits.split_table(rows, "key", [("random", 1)], by=("endpoint",))), EBY), "key", by=("endpoint",)))
+    common = F.broadcast(sets.select(F.explode("pos").alias("p")).groupBy("p").agg(F.count("*").alias("c")))  # N_BITS rows
+    shared = sets.select("inchikey", F.explode("pos").alias("p")).join(common, "p").groupBy("inchikey").agg(F.avg("c").alias("common"))
+    bits = array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(N_BITS - 1)), lambda i: F.array_contains("pos", i).cast("double")))
+    data = roles.join(shared, "inchikey").withColumn("bits", bits).withColumn("n_on", F.col("n_on").cast("double"))
+    data = cut(VectorAssembler(inputCols=["bits", "n_on", "common"], outputCol="features").transform(data).select(*EBY, "key", "inchikey", "role", "y", "features"))
+    told = models.forest_predict(data.filter("role = 'fit'"), data.filter("role <> 'fit'"))
+    fit = data.filter("role = 'fit'").select("inchikey").distinct()
+    links = pairs.union(pairs.select("b", "a", "similarity")).union(fit.select("inchikey", "inchikey", F.lit(1.0))).toDF("inchikey", "other", "similarity")
+    near = links.join(fit.withColumnRenamed("inchikey", "other"), "other", "left_semi").groupBy("inchikey").agg(F.max("similarity").alias("nn"))
+    p = cut(data.filter("role <> 'fit'").drop("features").join(told, "key").join(near, "inchikey", "left").withColumn("nn", F.coalesce("nn", F.lit(0.0))))
+    r = report.result_rows(metrics.fold_result(cut(conformal.normalised(p, by=EBY)), by=EBY), metrics.coverage_strata(cut(conformal.mondrian(p, by=EBY)), by=EBY), by=EBY)
+    return r.select(*EBY, *[_r(c, 4) for c in r.columns if c not in EBY])
+
+
+# ---- sources and sinks, written from the given tables and read again
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def dump_measurements(spark: SparkSession, d: str) -> DataFrame:
+    """measurement as the eight tables of a database dump, landed and read by the dump reader."""
+    m = cut(table(spark, d, "measurement").filter("row_id is not null and mol_id is not null and target_chembl_id is not null").dropDuplicates(["row_id"]))
+    ids = lambda c, name: m.select(F.col(c).alias("label")).distinct().select(F.xxhash64("label").alias(name), "label")
+    targets, molecules = ids("target_chembl_id", "tid"), ids("mol_id", "molregno")
+    smiles = m.groupBy("mol_id").agg(F.min(present("smiles")).alias("canonical_smiles"))
+    tables = {
+        "component_sequences": targets.select(F.col("tid").alias("component_id"), F.col("label").alias("accession")), "target_components": targets.select(F.col("tid").alias("component_id"), "tid"),
+        "target_dictionary": targets.select("tid", F.col("label").alias("chembl_id")), "assays": m.select(F.col("row_id").alias("assay_id"), F.xxhash64("target_chembl_id").alias("tid"), F.when(F.col("row_id") % 5 == 0, "F").otherwise("B").alias("assay_type"), F.col("assay_id").alias("chembl_id")),
+        "activities": m.select(F.col("row_id").alias("assay_id"), F.xxhash64("mol_id").alias("molregno"), F.when(usable_year("year").isNotNull(), F.col("row_id")).alias("doc_id"), F.col("endpoint").alias("standard_type"), F.when(F.col("row_id") % 7 == 0, ">").otherwise("=").alias("standard_relation"), F.col("pchembl").cast("string").alias("pchembl_value")),
+        "compound_structures": smiles.select(F.xxhash64("mol_id").alias("molregno"), "canonical_smiles"), "molecule_dictionary": molecules.select("molregno", F.col("label").alias("chembl_id")),
+        "docs": m.filter(usable_year("year").isNotNull()).select(F.col("row_id").alias("doc_id"), "year"),
+    }
+    folder = _shared(spark, "dump")
+    for name, t in tables.items():
+        sinks.write_table(t, f"{folder}/{name}.parquet")
+    out = dump.dump_measurements(dump.read_dump(spark, folder=folder), "IC50", FAMILY)
+    return out.groupBy("gene", "year").agg(F.count("*").alias("n"), F.round(F.avg("pchembl"), 6).alias("mean"), F.count("assay_id").alias("n_assays"))
+
+
+def csv_directory(spark: SparkSession, d: str) -> DataFrame:
+    """measurement as one CSV folder a gene, read by the reader of export folders."""
+    m = table(spark, d, "measurement").filter(F.col("gene").rlike("^KRZ[A-Z]$"))
+    cells = m.select("gene", present("smiles").alias("Smiles"), F.col("endpoint").alias("Standard Type"), F.when(F.col("row_id") % 6 == 0, ">").otherwise("'='").alias("Standard Relation"), F.col("pchembl").cast("string").alias("pChEMBL Value"), F.col("year").cast("string").alias("Document Year"))
+    path = _shared(spark, "exports")
+    cells.write.partitionBy("gene").option("sep", ";").option("header", True).csv(path)
+    rows = delimited.read_export_folder(spark, path, "IC50")
+    return rows.groupBy("gene").agg(F.count("*").alias("n"), F.round(F.sum("pchembl"), 4).alias("total"), F.count("year").alias("n_year"))
+
+
+def results_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of every endpoint written as result files by the report sink, and read again by their pattern."""
+    n = cut(_merged(spark, d).groupBy("endpoint", "gene").agg(F.count("*").alias("n")))
+    folder = _shared(spark, "results")
+    n.filter("endpoint is not null").write.partitionBy("endpoint").option("header", True).csv(folder)
+    back = spark.read.option("header", True).schema("gene string, n bigint, endpoint string").csv(folder)
+    return back.select("endpoint", "gene", "n")
+
+
 #: Names in the order of the pipeline.
 NAMES = """scan_measurements dump_join_chain relation_filter exact_value_guard first_match_columns tsv_tolerant_scan replicate_agg replicate_unique_check union_sources provenance harmonise_merge
 overlap_report gene_counts distinct_counts fill_defaults fp_binarise tanimoto_pairs nn_tanimoto tanimoto_range_join cluster_sphere cluster_invariants split_random split_time split_grouped
 split_grouped_smallest calibration_split exact_dupes scaffold_straddle leakage_audit logo_distinct knn_predict conformal_normalised conformal_mondrian point_metrics spearman coverage_strata
-evaluate_split seed_summary gap_verdict worst_split overcoverage panel_a panel_b panel_c panel_d evaluate_cluster rf_predict_sigma""".split()
+evaluate_split seed_summary gap_verdict worst_split overcoverage panel_a panel_b panel_c panel_d evaluate_cluster rf_predict_sigma
+endpoint_choice endpoint_results endpoint_audit endpoint_overcoverage pipeline_results pipeline_audit pipeline_invariants logo_evaluate rf_evaluate dump_measurements csv_directory results_roundtrip""".split()
 
 
 def queries() -> dict:

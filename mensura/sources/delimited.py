@@ -89,6 +89,12 @@ def narrow_measurements(rows: DataFrame, endpoint: str, gene: Column, where: str
     ).na.drop(subset=["smiles", "pchembl"])
 
 
+def read_export_folder(spark: SparkSession, path: str, endpoint: str) -> DataFrame:
+    """A folder of CSV files with one header text, parted by gene (``gene=..``): one scan however many files there are."""
+    rows = spark.read.csv(path, sep=";", header=True)
+    return narrow_measurements(rows, endpoint, F.upper(F.col("gene")), path)
+
+
 def read_csv_dir(spark: SparkSession, paths: list[str], endpoint: str) -> DataFrame:
     """Every file of the list; the gene is the file name. A file with one column under ';' is read with ','."""
     out = None
