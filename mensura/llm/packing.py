@@ -160,18 +160,19 @@ def evolve(sizes: list[int], capacity: int, elites: list[list[Bin]], population:
         people.append(best_fit(sizes, [x for x in rest if x not in inside], own, capacity))
     while len(people) < population:
         people.append(best_fit(sizes, sorted(rest, key=lambda x: -sizes[x] * rng.uniform(0.6, 1.0)), [], capacity))
-    people.sort(key=lambda p: -fitness(p, capacity))
+    ranked = sorted(((fitness(p, capacity), p) for p in people), key=lambda x: -x[0])
     fewest, idle = -(-sum(sizes[x] for x in rest) // capacity), 0
     for _ in range(generations if rest else 0):
-        if len(people[0]) <= fewest or idle >= patience:
+        if len(ranked[0][1]) <= fewest or idle >= patience:
             break
-        i, j = rng.sample(range(len(people)), 2)
-        child = cross(people[i], people[j], sizes, capacity, 0.3, rng)
-        idle = 0 if fitness(child, capacity) > fitness(people[0], capacity) else idle + 1
-        if fitness(child, capacity) > fitness(people[-1], capacity) and child not in people:
-            people[-1] = child
-            people.sort(key=lambda p: -fitness(p, capacity))
-    return kept + people[0]
+        i, j = rng.sample(range(len(ranked)), 2)
+        child = cross(ranked[i][1], ranked[j][1], sizes, capacity, 0.3, rng)
+        fit = fitness(child, capacity)
+        idle = 0 if fit > ranked[0][0] else idle + 1
+        if fit > ranked[-1][0] and all(fit != f for f, _ in ranked):
+            ranked[-1] = (fit, child)
+            ranked.sort(key=lambda x: -x[0])
+    return kept + ranked[0][1]
 
 
 def _epoch(capacity: int, population: int, generations: int, epoch: int):
@@ -205,8 +206,9 @@ def pack_items(items: DataFrame, capacity: int, shard: int = 4000, islands: int
     shards = max(1, -(-items.count() // shard))
     dealt = cut(items.select(F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int").alias("shard"), "item", "size"))
     state = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("origin", F.lit(-1)).withColumn("bin", F.lit(-1))
+    tasks = min(shards * islands, 20_000)  # a group is little data and much work: they are not drawn together
     for e in range(epochs):
-        best = cut(state.select("shard", "island", "item", "size", "origin", "bin").groupBy("shard", "island").applyInPandas(_epoch(capacity, population, generations, e), out))
+        best = cut(state.select("shard", "island", "item", "size", "origin", "bin").repartition(tasks, "shard", "island").groupBy("shard", "island").applyInPandas(_epoch(capacity, population, generations, e), out))
         stay = best.select("shard", "island", "item", "size", F.col("island").alias("origin"), "bin")
         state = stay.unionByName(stay.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))) if islands > 1 else stay
     won = best.groupBy("shard").agg(F.max_by("island", F.struct("score", -F.col("island"))).alias("island"))

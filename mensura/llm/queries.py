@@ -27,6 +27,15 @@ def p1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _fused(spark, folder).quality
 
 
+def p1_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and records, and surviving years that no record of the group states (none)."""
+    f = _fused(spark, folder)
+    members, survivors = cut(f.members), cut(f.survivors)
+    stated = table(spark, folder, "compound_target").select("rec_id", usable_year("year").alias("year")).join(members, "rec_id").select("group_id", "year").distinct()
+    made_up = survivors.filter("year is not null").join(stated, ["group_id", "year"], "left_anti").agg(F.count("*").alias("n_made_up"))
+    return survivors.agg(F.count("*").alias("n_groups"), F.sum("n_records").cast("long").alias("n_records"), F.count("year").alias("n_year")).join(made_up, F.lit(True))
+
+
 def _overlap(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlapping_records(*(table(spark, folder, t) for t in ("split_member", "compound_target", "fingerprint")))
 
@@ -39,6 +48,11 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(_overlap(spark, folder), table(spark, folder, "split_member"))
 
 
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact and near counts of the leak report per split and source."""
+    return p2_report(spark, folder).select("split_name", "source", "n_overlapping", "exact_dupe_keys", "near_dupes")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = neighbours.neighbour_pairs(table(spark, folder, "fingerprint"))
     return pairs.select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"))
@@ -91,6 +105,15 @@ def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.describe(clusters.similar_groups(table(spark, folder, "fingerprint"), apart=True))
 
 
+def p6_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors, the sum of the clusters' sizes, and vectors whose dense cluster reaches out of their group (none)."""
+    vectors = table(spark, folder, "fingerprint")
+    dense = cut(clusters.similar_groups(vectors, apart=True).select("vec", F.col("cluster").alias("dense")))
+    groups = cut(clusters.similar_groups(vectors).select("vec", "cluster"))
+    out = dense.join(groups, "vec").groupBy("dense").agg(F.countDistinct("cluster").alias("n"), F.count("*").alias("size"))
+    return out.agg(F.sum("size").cast("long").alias("n_vectors"), F.count_if(F.col("n") > 1).alias("n_reaching_out"))
+
+
 def p8_pack_2048(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), 2048)
 
@@ -103,6 +126,20 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(cut(p8_pack_2048(spark, folder)), 2048).unionByName(packing.fill_report(cut(p8_pack_8192(spark, folder)), 8192))
 
 
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity: documents packed, sequences that hold too much, documents cut without need, tokens that lie over each other (none)."""
+    out = None
+    for capacity, query in ((2048, p8_pack_2048), (8192, p8_pack_8192)):
+        p = cut(query(spark, folder))
+        seqs = p.groupBy("sequence").agg(F.sum("n_tokens").alias("n"), F.max(F.col("offset") + F.col("n_tokens")).alias("to"))
+        docs = p.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"), F.countDistinct("start").alias("starts"))
+        a = seqs.agg(F.count_if(F.col("n") > capacity).alias("n_over"), F.count_if(F.col("to") != F.col("n")).alias("n_lapping"))
+        b = docs.agg(F.count("*").alias("n_docs"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= capacity)).alias("n_cut"))
+        part = a.join(b, F.lit(True)).withColumn("capacity", F.lit(capacity))  # two rows of one
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
@@ -115,6 +152,11 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder)
 
 
+def p9_verbatim(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaks among them that repeat twelve words or more of the item verbatim."""
+    return _leaks(spark, folder).filter("longest >= 12").select("doc_id", "item_id")
+
+
 def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that hold no held-out passage, with their text."""
     docs = table(spark, folder, "documents")
@@ -125,6 +167,12 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(table(spark, folder, "documents"))
 
 
+def p10_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and their characters of every document."""
+    counted = quality.text_counts(table(spark, folder, "documents"))
+    return counted.select("doc_id", *[F.col("counts")[quality.AT[n]].cast("long").alias(n) for n in ("words", "word_chars")]).distinct()
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_statistics(spark, folder).filter("text_kind <> 'prose'").select("doc_id", "text_kind")
 
