@@ -33,6 +33,12 @@ def p5_filled(spark: SparkSession, folder: str) -> DataFrame:
     return filled_years(spark, folder).select("row_id", "year", "year_filled", "year_method")
 
 
+def p5_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows each level fills; what has no entity's value goes to its cluster or the table."""
+    level = F.when(F.col("year_method").isin("observed", "entity"), F.col("year_method")).otherwise("cluster or table")
+    return filled_years(spark, folder).groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.count("year_filled").alias("n_filled"))
+
+
 def p5_genes(spark: SparkSession, folder: str) -> DataFrame:
     """A categorical field: the gene of rows without one, from their target, the rows most like them, or the table."""
     m = table(spark, folder, "measurement")
@@ -60,7 +66,7 @@ def p7_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_filled, p5_genes, p5_holdout, p7_found, p7_table)}
+    return {f.__name__: f for f in (p5_found, p5_filled, p5_levels, p5_genes, p5_holdout, p7_found, p7_table)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -69,6 +75,8 @@ def oracle_sql() -> dict[str, str]:
 
     assay = f"upper({present('assay_id')})"
     return {
+        "p5_levels": f"""with m as (select {assay} as assay, case when year between 1970 and 2026 then year end as year from measurement), known as (select distinct assay from m where year is not null and assay is not null)
+            select case when year is not null then 'observed' when known.assay is not null then 'entity' else 'cluster or table' end as level, count(*) as n, count(*) as n_filled from m left join known using (assay) group by 1""",
         "p5_found": f"""with m as (select row_id, {assay} as assay, case when year between 1970 and 2026 then year end as year from measurement),
             counted as (select assay, year, count(*) as n from m where assay is not null and year is not null group by 1, 2),
             modes as (select assay, year from counted qualify row_number() over (partition by assay order by n desc, year) = 1)
