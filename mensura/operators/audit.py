@@ -60,10 +60,10 @@ def leakage_audit(sided: DataFrame, sets: DataFrame, key: str = "inchikey", by:
     return out.na.fill(0.0, ["nn_tanimoto_median", "nn_tanimoto_p90", "frac_test_nn_ge_0_7", "frac_test_nn_ge_0_9"])
 
 
-def render(report: DataFrame) -> list[str]:
+def render(report: DataFrame, by: list[str] = BY) -> list[str]:
     """Lines of text for a (small) report: one a split."""
     return [
-        f"  [{r['split']:>8}] train={r['n_train']} test={r['n_test']} | exact: {r['exact_dupe_keys']} | nearest median {r['nn_tanimoto_median']:.2f}, p90 {r['nn_tanimoto_p90']:.2f} | "
+        f"  [{'/'.join(str(r[c]) for c in by):>20}] train={r['n_train']} test={r['n_test']} | exact: {r['exact_dupe_keys']} | nearest median {r['nn_tanimoto_median']:.2f}, p90 {r['nn_tanimoto_p90']:.2f} | "
         f">=0.7: {r['frac_test_nn_ge_0_7']:.0%}, >=0.9: {r['frac_test_nn_ge_0_9']:.0%} | groups on both sides: {r['scaffold_straddle_frac']:.0%}"
-        for r in report.orderBy(*BY).collect()
+        for r in report.orderBy(*by).collect()
     ]

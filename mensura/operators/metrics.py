@@ -44,3 +44,12 @@ def coverage_strata(test: DataFrame, near: float = 0.7, novel: float = 0.5, by:
 def fold_result(test: DataFrame, by: list[str] = BY) -> DataFrame:
     """All figures of a fold in one row per (split, seed)."""
     return point_metrics(test, by).join(spearman(test, by), by).join(coverage_strata(test, by=by), by)
+
+
+def render(results: DataFrame, by: list[str] = BY) -> list[str]:
+    """Lines of text for a (small) results table: one a fold."""
+    figure = lambda x, digits=2: "-" if x is None else f"{x:.{digits}f}"
+    return [
+        f"  [{'/'.join(str(r[c]) for c in by):>20}] R2={figure(r['r2'], 3)} RMSE={figure(r['rmse'])} rho={figure(r['spearman'], 3)} | normalised coverage {figure(r['coverage'])} width {figure(r['width'])} | binned coverage {figure(r['coverage_mondrian'])} width {figure(r['width_mondrian'])}"
+        for r in results.orderBy(*by).collect()
+    ]

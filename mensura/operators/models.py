@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mensura.session import ensure_checkpoint_dir
+from mensura.session import cut, ensure_checkpoint_dir
 
 BY = ["split", "seed"]
 
@@ -51,7 +51,9 @@ def forest_predict(fit: DataFrame, targets: DataFrame, features: str = "features
     model.save(path)
     nodes = spark.read.parquet(f"{path}/data")
     flat = nodes.select("treeID", "nodeData.*").filter("leftChild = -1")
-    leaf = flat.withColumn("leaf", F.row_number().over(W.partitionBy("treeID").orderBy("id")) - 1).select("treeID", "leaf", "prediction")
+    leaf = cut(flat.withColumn("leaf", F.row_number().over(W.partitionBy("treeID").orderBy("id")) - 1).select("treeID", "leaf", "prediction"))
+    saved = spark._jvm.org.apache.hadoop.fs.Path(path)
+    saved.getFileSystem(spark._jsc.hadoopConfiguration()).delete(saved, True)  # the model's files are read and no longer needed
     placed = model.transform(targets).select(key, F.posexplode(vector_to_array("leaves")).alias("treeID", "at")).withColumn("leaf", F.col("at").cast("int"))
     each = placed.join(leaf, ["treeID", "leaf"])
     return each.groupBy(key).agg(F.avg("prediction").alias("mu"), (F.stddev_pop("prediction") + 1e-6).alias("sigma"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mensura.functions.keys import BLANK, MISSING, trimmed
 from mensura.operators.components import connected_components
 from mensura.session import cut
+from mensura.sources.delimited import HEADERS
 
 DELIMITERS = (";", "\t", ",", "|")
 #: Smallest hashes kept for a column's values, one a bin: a fixed-size sketch however long the file.
@@ -255,17 +256,8 @@ def schema_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.mapInPandas(_changes, "file_id bigint, change_type string, column_name string, old string, new string")
 
 
-#: Header texts of the known fields in lower case (fixed values).
-KNOWN = {
-    "smiles": ("smiles", "canonical smiles", "canonical_smiles"),
-    "endpoint": ("standard type", "standard_type"),
-    "relation": ("standard relation", "standard_relation"),
-    "pchembl": ("pchembl value", "pchembl_value"),
-    "year": ("document year", "document_year"),
-    "assay_id": ("assay chembl id", "assay_chembl_id"),
-    "mol_id": ("molecule chembl id", "molecule_chembl_id"),
-    "target_chembl_id": ("target chembl id", "target_chembl_id"),
-}
+#: Header texts of the known fields in lower case.
+KNOWN = {field: tuple(sorted({h.lower() for h in texts})) for field, texts in HEADERS.items()}
 
 
 def _spread(known: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:

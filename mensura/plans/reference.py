@@ -166,7 +166,7 @@ def nn_tanimoto(spark: SparkSession, d: str) -> DataFrame:
     return nn.select(F.col("a").alias("vec_id"), _r("nn"))
 
 
-def _sets(spark: SparkSession, d: str) -> DataFrame:
+def first_sets(spark: SparkSession, d: str) -> DataFrame:
     return similarity.first_sets(table(spark, d, "fingerprint"))
 
 
@@ -177,7 +177,7 @@ def tanimoto_range_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, d: str, least: float) -> tuple[DataFrame, DataFrame]:
-    sets = cut(_sets(spark, d))
+    sets = cut(first_sets(spark, d))
     keys = sets.select("set_id", "inchikey")
     pairs = similarity.range_join(sets, least)
     named = pairs.join(keys.withColumnRenamed("set_id", "a").withColumnRenamed("inchikey", "ka"), "a").join(keys.withColumnRenamed("set_id", "b").withColumnRenamed("inchikey", "kb"), "b")
@@ -243,7 +243,7 @@ def scaffold_straddle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leakage_audit(spark: SparkSession, d: str) -> DataFrame:
-    return audit.leakage_audit(_sided(spark, d), cut(_sets(spark, d)))
+    return audit.leakage_audit(_sided(spark, d), cut(first_sets(spark, d)))
 
 
 def logo_distinct(spark: SparkSession, d: str) -> DataFrame:
@@ -315,7 +315,7 @@ def overcoverage(spark: SparkSession, d: str) -> DataFrame:
 
 def panel_a(spark: SparkSession, d: str) -> DataFrame:
     rows = _sided(spark, d)
-    return report.panel_audit(audit.leakage_audit(rows.filter("seed = 1"), cut(_sets(spark, d))))
+    return report.panel_audit(audit.leakage_audit(rows.filter("seed = 1"), cut(first_sets(spark, d))))
 
 
 def panel_b(spark: SparkSession, d: str) -> DataFrame:
@@ -347,7 +347,7 @@ def rf_predict_sigma(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.feature import HashingTF
 
     tf = HashingTF(numFeatures=2048, binary=True, inputCol="words", outputCol="features")
-    rows = splits.random_split(model_rows(spark, d), "key").join(_sets(spark, d).select("inchikey", F.transform("pos", lambda p: p.cast("string")).alias("words")), "inchikey")
+    rows = splits.random_split(model_rows(spark, d), "key").join(first_sets(spark, d).select("inchikey", F.transform("pos", lambda p: p.cast("string")).alias("words")), "inchikey")
     data = cut(tf.transform(rows).select("key", "side", "y", "features"))
     out = models.forest_predict(data.filter("side = 'train'"), data.filter("side = 'test'"))
     return out.select("key", _r("mu"), _r("sigma"))
@@ -364,7 +364,7 @@ def endpoint_rows(spark: SparkSession, d: str) -> DataFrame:
     return filled.select("endpoint", F.concat_ws("|", *harmonise.KEY).alias("key"), "inchikey", "gene", F.coalesce("scaffold", F.lit("")).alias("scaffold"), "year", F.col("pchembl").alias("y"))
 
 
-def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def clustered_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(rows of every endpoint with their cluster, neighbours)."""
     sets, pairs = _neighbours(spark, d, NEIGHBOUR)
     pairs = cut(pairs)
@@ -392,7 +392,7 @@ def endpoint_results(spark: SparkSession, d: str) -> DataFrame:
 
 def endpoint_audit(spark: SparkSession, d: str) -> DataFrame:
     sided = cut(splits.split_table(cut(endpoint_rows(spark, d)), "key", PLAN, by=("endpoint",)))
-    return audit.leakage_audit(sided, cut(_sets(spark, d)), by=EBY)
+    return audit.leakage_audit(sided, cut(first_sets(spark, d)), by=EBY)
 
 
 def endpoint_overcoverage(spark: SparkSession, d: str) -> DataFrame:
@@ -409,21 +409,21 @@ def endpoint_choice(spark: SparkSession, d: str) -> DataFrame:
 
 def pipeline_results(spark: SparkSession, d: str) -> DataFrame:
     """All four splits of every endpoint, the cluster split among them."""
-    rows, pairs = _clustered(spark, d)
+    rows, pairs = clustered_rows(spark, d)
     r = _evaluated(cut(splits.split_table(rows, "key", FULL_PLAN, by=("endpoint",))), pairs)
     return r.select(*EBY, *[_r(c, 4) for c in r.columns if c not in EBY])
 
 
 def pipeline_audit(spark: SparkSession, d: str) -> DataFrame:
     """Leak figures of all four splits of every endpoint, seed 1."""
-    rows, _ = _clustered(spark, d)
+    rows, _ = clustered_rows(spark, d)
     plan = [(kind, seed) for kind, seed in FULL_PLAN if seed == 1]
-    return audit.leakage_audit(cut(splits.split_table(rows, "key", plan, by=("endpoint",))), cut(_sets(spark, d)), by=EBY)
+    return audit.leakage_audit(cut(splits.split_table(rows, "key", plan, by=("endpoint",))), cut(first_sets(spark, d)), by=EBY)
 
 
 def pipeline_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Per endpoint of the cluster split: rows, clusters on both sides (none), and whether test holds about a quarter."""
-    rows, _ = _clustered(spark, d)
+    rows, _ = clustered_rows(spark, d)
     sided = cut(splits.split_table(rows, "key", [("cluster", 1)], by=("endpoint",)))
     torn = sided.groupBy("endpoint", "cluster").agg(F.countDistinct("side").alias("n")).groupBy("endpoint").agg(F.count_if(F.col("n") > 1).alias("n_torn"))
     n = sided.groupBy("endpoint").agg(F.count("*").alias("n_rows"), (F.avg((F.col("side") == "test").cast("double")).between(0.2, 0.35)).alias("about_a_quarter"))

@@ -11,6 +11,11 @@ from mensura.functions.text import equals_relation, exact_number, first_match, p
 #: Value column of each endpoint and the start of the accession columns (fixed values).
 ENDPOINT_COLUMN = {"Ki": "Ki (nM)", "IC50": "IC50 (nM)", "Kd": "Kd (nM)"}
 ACCESSION_PREFIX = "UniProt (SwissProt) Primary ID of Target Chain"
+#: Header texts of the fields of a narrow export (fixed values).
+HEADERS = {
+    "smiles": ("Smiles", "Canonical Smiles", "canonical_smiles"), "endpoint": ("Standard Type", "standard_type"), "relation": ("Standard Relation", "standard_relation"), "pchembl": ("pChEMBL Value", "pchembl_value"),
+    "year": ("Document Year", "document_year"), "assay_id": ("Assay ChEMBL ID", "assay_chembl_id"), "mol_id": ("Molecule ChEMBL ID", "molecule_chembl_id"), "target_chembl_id": ("Target ChEMBL ID", "target_chembl_id"),
+}
 
 
 def find_column(columns: list[str], *candidates: str) -> str | None:
@@ -72,20 +77,16 @@ def narrow_measurements(rows: DataFrame, endpoint: str, gene: Column, where: str
     missing column is not); numbers that cannot be read are dropped with their rows.
     """
     cols = rows.columns
-    names = {
-        "smiles": ("Smiles", "Canonical Smiles", "canonical_smiles"), "type": ("Standard Type", "standard_type"), "relation": ("Standard Relation", "standard_relation"), "pchembl": ("pChEMBL Value", "pchembl_value"),
-        "year": ("Document Year", "document_year"), "assay": ("Assay ChEMBL ID", "assay_chembl_id"), "mol": ("Molecule ChEMBL ID", "molecule_chembl_id"), "target": ("Target ChEMBL ID", "target_chembl_id"),
-    }
-    at = {k: find_column(cols, *v) for k, v in names.items()}
-    require({k: at[k] for k in ("smiles", "type", "pchembl")}, where)
+    at = {k: find_column(cols, *v) for k, v in HEADERS.items()}
+    require({k: at[k] for k in ("smiles", "endpoint", "pchembl")}, where)
     c = lambda k: F.col(f"`{at[k]}`")
-    kept = rows.filter(F.upper(F.trim(c("type"))) == endpoint.upper())
+    kept = rows.filter(F.upper(F.trim(c("endpoint"))) == endpoint.upper())
     if at["relation"]:
         kept = kept.filter(equals_relation(c("relation")))
-    text = lambda k: (present(c(k)) if at[k] else F.lit("NA")).alias({"target": "target_chembl_id", "mol": "mol_id", "assay": "assay_id"}[k])
+    text = lambda k: (present(c(k)) if at[k] else F.lit("NA")).alias(k)
     return kept.select(
-        gene.alias("gene"), text("target"), text("mol"), present(c("smiles")).alias("smiles"), exact_number(c("pchembl")).alias("pchembl"), F.lit(endpoint).alias("endpoint"),
-        (exact_number(c("year")).cast("int") if at["year"] else F.lit(None).cast("int")).alias("year"), text("assay"),
+        gene.alias("gene"), text("target_chembl_id"), text("mol_id"), present(c("smiles")).alias("smiles"), exact_number(c("pchembl")).alias("pchembl"), F.lit(endpoint).alias("endpoint"),
+        (exact_number(c("year")).cast("int") if at["year"] else F.lit(None).cast("int")).alias("year"), text("assay_id"),
     ).na.drop(subset=["smiles", "pchembl"])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -15,8 +15,7 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_text(lines: list[str], path: str) -> None:
-    """A text report, printed as well."""
+def write_text(spark: SparkSession, lines: list[str], path: str) -> None:
+    """A text report as one file in a folder that the cluster shares, printed as well."""
     print("\n".join(lines))
-    with open(path, "w") as f:
-        f.write("\n".join(lines) + "\n")
+    spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "n int, value string").coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)

@@ -288,3 +288,31 @@ def test_random_split_intervals_cover(spark):
     for method in (conformal.normalised, conformal.mondrian):
         f = metrics.fold_result(method(p)).first()
         assert f["coverage"] >= 0.8 and f["r2"] > 0.5
+
+
+def test_command_line_writes_audit_results_and_text(spark, tmp_path):
+    from mensura import __main__ as command
+
+    a = command.arguments(["--data", "/root/testdata/sf0.001", "--seeds", "1", "--report", str(tmp_path)])
+    lines = command.evaluate(spark, a)
+    audit_rows, results = (spark.read.csv(f"{tmp_path}/{n}", header=True, inferSchema=True) for n in ("audit", "results"))
+    assert {r["split"] for r in audit_rows.collect()} == {"random", "scaffold", "cluster", "time"}
+    assert {"endpoint", "split", "seed", "r2", "coverage_mondrian"} <= set(results.columns) and all(0 <= r["coverage"] <= 1 for r in results.collect())
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/report").collect()] == lines and lines[0] == "LEAKAGE AUDIT"
+
+
+def test_quantiles_interpolate_and_skip_nulls(spark):
+    from mensura.operators.splits import quantiles
+
+    values = [3.0, 1.0, None, 4.0, 1.5, 9.0]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 2.0)], "g string, v double")
+    got = {r["g"]: list(r["q"]) for r in quantiles(df, ["g"], "v", [0.0, 0.5, 0.9, 1.0]).collect()}
+    assert got["b"] == [2.0] * 4 and all(abs(x - y) < 1e-12 for x, y in zip(got["a"], [1.0, 3.0, 7.0, 9.0]))
+
+
+def test_splits_with_too_few_rows_are_left_out(spark):
+    from mensura.operators.splits import large_enough
+
+    rows_of = lambda name, test, train: [(name, "test")] * test + [(name, "train")] * train
+    df = spark.createDataFrame(rows_of("ok", 10, 40) + rows_of("few test", 9, 90) + rows_of("few train", 30, 39), "split string, side string")
+    assert {r["split"] for r in large_enough(df, ["split"]).collect()} == {"ok"}
