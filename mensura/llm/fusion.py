@@ -70,6 +70,7 @@ def named_molecules(records: DataFrame, rounds: int = 8) -> DataFrame:
     A text that states one key takes it. Of several, each is a fact of that text, claimed by the sources
     that state it: the highest posterior wins, then the key that more records state, then the smallest.
     """
+    records = cut(records)
     keyed = records.withColumn("__key", molecule_key("inchikey")).withColumn("__text", present("std_smiles"))
     lost = keyed.filter("__key is null and __text is not null").select("__text").distinct()
     stated = keyed.filter("__key is not null").join(lost, "__text", "left_semi").groupBy("__text", "__key", F.coalesce(F.lower(present("source")), F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
@@ -107,6 +108,7 @@ def fuse_records(records: DataFrame, targets: DataFrame, rounds: int = 8) -> Fus
         usable_year("year").cast("string").alias("year"), present("std_smiles").alias("std_smiles"),
         F.split(F.lower(F.coalesce(trimmed("sources"), F.lit(""))), "\\s*[,;|/]\\s*").alias("sources"), F.col("updated_at").alias("at"),
     )
+    clean = cut(clean)
     key = ["molecule", "target", "endpoint_key"]
     firsts = clean.groupBy(*key).agg(F.min("rec_id").alias("group_id"), F.count("*").alias("n_records"))
     named = cut(clean.join(firsts.select(*key, "group_id"), key))

@@ -16,13 +16,13 @@ PROPORTIONS = {"train": 0.8, "valid": 0.1, "test": 0.1}
 
 
 def related_groups(records: DataFrame, keys: list[Column], id_col: str = "rec_id") -> DataFrame:
-    """(id, group_id): records that share a value of any of ``keys``, also through other records; group_id is the smallest id.
+    """(id, group_id, alone): records that share a value of any of ``keys``, also through other records; group_id is the smallest id, ``alone`` says that a record has no key.
 
     Null keys relate nothing; rows with a null id are left out. Every value is first replaced by the smallest id that has it, so the graph
     has one edge per distinct pair of values and not one per pair of records; a value that a third of
     all records share is one node.
     """
-    again = records.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    again = cut(records.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(keys)]))
     base = again.groupBy("id").agg(*[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
     for i in range(len(keys)):
         named = again.filter(F.col(f"k{i}").isNotNull()).groupBy(f"k{i}").agg(F.min("id").alias(f"h{i}"))
@@ -44,7 +44,7 @@ def related_groups(records: DataFrame, keys: list[Column], id_col: str = "rec_id
     edges = edges.union(extra) if extra is not None else edges
     labels = connected_components(edges)
     first = base.withColumn("node", F.coalesce(*heads, F.col("id")))
-    return first.join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("group_id"))
+    return first.join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("group_id"), F.coalesce(*heads).isNull().alias("alone"))
 
 
 def _difference(groups: list[tuple[int, list[tuple[int, list]]]], bins: int) -> list[tuple[int, list]]:
@@ -143,8 +143,7 @@ def assign_splits(records: DataFrame, keys: list[Column], id_col: str = "rec_id"
     tables give no rows.
     """
     proportions = proportions or PROPORTIONS
-    named = records.select(F.col(id_col).alias("id"), F.coalesce(*[k.cast("string") for k in keys]).isNull().alias("alone")).filter("id is not null").groupBy("id").agg(F.min("alone").alias("alone"))
-    groups = cut(related_groups(records, keys, id_col).join(named, "id"))
+    groups = cut(related_groups(records, keys, id_col))
     weights = cut(groups.groupBy("group_id").agg(F.count("*").alias("weight"), F.when(F.min("alone"), 1).otherwise(0).alias("stratum")))
     slots, loads = balanced_bins(weights, bins)
     rows = loads.collect()  # ``bins`` rows a stratum
