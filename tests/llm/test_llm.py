@@ -503,14 +503,14 @@ def test_chunks_change_nothing(spark):
 
 def test_a_long_line_is_one_line_in_chunks_too(spark):
     rng = random.Random(10)
-    line = " ".join(rng.choice(["the", "pump", "is", "in", "a", "well"]) for _ in range(45_000))
+    line = " ".join(rng.choice(["the", "pump", "is", "in", "a", "well"]) for _ in range(52_000))
     texts = [line, "z" * 200_001, "first\n" + line + "\nlast.", TEXTS["prose"]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     script = quality.learn_script(df)
     at = {n: quality.AT[n] for n in ("lines", "words", "word_chars", "ended_lines", "common_words", "repeated", "pairs")}
     figures = lambda **how: {r["doc_id"]: [r["counts"][i] for i in at.values()] for r in quality.text_counts(df, script, **how).collect()}
     whole = figures(chunk=10**7)
-    assert [whole[i][:2] for i in range(3)] == [[1, 45_000], [1, 1], [3, 45_002]] and len(line) > 188_000
+    assert [whole[i][:2] for i in range(3)] == [[1, 52_000], [1, 1], [3, 52_002]] and len(line) > 188_000
     assert figures() == whole == figures(chunk=1000, fan_in=4)
 
 
