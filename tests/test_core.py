@@ -243,6 +243,29 @@ def test_audit_counts_rows_by_molecule(spark):
     assert len(audit.render(audit.leakage_audit(sided, sets))) == 1
 
 
+def test_audit_compares_all_only_where_a_figure_needs_it(spark, monkeypatch):
+    """Group 1: the median lies among the near rows, so nothing is compared in blocks. Group 2: it does not, and is exact below the threshold."""
+    far = {"c": [1, 2, 3, 50, 51], "d": [1, 2, 60, 61, 62], "e": [70, 71]}
+    sets = spark.createDataFrame([("a", [1, 2, 3, 4, 5]), ("b", [1, 2, 3, 4]), *far.items()], "inchikey string, pos array<int>")
+    one = [("r", 1, "a", "train"), ("r", 1, "a", "test"), ("r", 1, "b", "test"), ("r", 1, "e", "test")]
+    two = [("r", 2, "a", "train"), *(("r", 2, k, "test") for k in far)]
+    sided = spark.createDataFrame([(*x[:3], None, x[3]) for x in one + two], "split string, seed int, inchikey string, scaffold string, side string")
+    asked = []
+    monkeypatch.setattr(audit, "nearest", lambda q, *a, f=audit.nearest: asked.extend(r["seed"] for r in q.select("seed").collect()) or f(q, *a))
+    got = {r["seed"]: r for r in audit.leakage_audit(sided, sets).collect()}
+    assert set(asked) == {2} and got[1]["nn_tanimoto_median"] == 0.8 and got[2]["nn_tanimoto_median"] == 0.25
+    assert got[2]["nn_tanimoto_p90"] == pytest.approx(0.25 + 0.8 * (3 / 7 - 0.25), abs=1e-6) and got[1]["frac_test_nn_ge_0_7"] == pytest.approx(2 / 3, abs=1e-6)
+
+
+def test_panel_looks_for_twins_only(spark, monkeypatch):
+    sided = spark.createDataFrame([("r", 1, "a", "s", "train"), ("r", 1, "a", "s", "test"), ("r", 1, "b", "t", "test"), ("r", 1, "x", "t", "test")], "split string, seed int, inchikey string, scaffold string, side string")
+    sets = spark.createDataFrame([("a", list(range(10))), ("b", list(range(9)))], "inchikey string, pos array<int>")
+    asked = []
+    monkeypatch.setattr(audit, "range_join", lambda v, least, f=audit.range_join: asked.append(least) or f(v, least))
+    want, got = audit.leakage_audit(sided, sets).first(), audit.twin_audit(sided, sets).first()
+    assert asked == [0.7, 0.9] and all(got[c] == want[c] for c in ("exact_dupe_keys", "frac_test_nn_ge_0_9", "scaffold_straddle_frac")) and got["frac_test_nn_ge_0_9"] == 0.666667
+
+
 def sequential(n, near):
     """Sphere exclusion one row after the other, for comparison."""
     nb = {i: {j for a, b in near for j in ((b,) if a == i else (a,) if b == i else ())} for i in range(n)}
