@@ -52,6 +52,24 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.neighbour_pairs(vectors(spark, sets).limit(0)).count() == 0
 
 
+def shuffled_rows(spark):
+    context = spark.sparkContext
+    store = context._jsc.sc().statusStore()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = store.stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_neighbours_move_few_rows(spark):
+    """Sets that resemble nothing are posted nowhere, and what goes from a batch to a partition is one row."""
+    rng = np.random.default_rng(7)
+    sets = sets_of(300, 5) + [frozenset(rng.choice(2048, 40, replace=False).tolist()) for _ in range(2700)]
+    before = shuffled_rows(spark)
+    got = {(r["id_a"], r["id_b"]) for r in neighbours.neighbour_pairs(vectors(spark, sets)).collect()}
+    assert len(got) >= 900 and max(b for _, b in got) < 300
+    assert shuffled_rows(spark) - before < 10 * len(sets)
+
+
 def test_clusters_equal_connected_groups(spark):
     sets = sets_of(120, 2) + [frozenset(range(50)), frozenset(range(50))]
     root = list(range(len(sets)))
